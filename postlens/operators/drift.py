@@ -10,7 +10,7 @@ import math
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postlens.constants import DRIFT_SHARE
 from postlens.functions import text as X
@@ -176,7 +176,7 @@ def _upper_gamma(a: float, x: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi_square_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     """Tail probability; runs on one row per column."""
     return pd.Series([
@@ -184,7 +184,7 @@ def chi_square_p(statistic: pd.Series, dof: pd.Series) -> pd.Series:
     ], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided tail of the standard normal; runs on one row per column."""
     return z.map(lambda v: None if pd.isna(v) else math.erfc(abs(v) / math.sqrt(2)))

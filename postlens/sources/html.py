@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postlens.constants import PAGE_STATE_CLASSES
 from postlens.functions.text import strip
@@ -35,7 +35,7 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(bare), GAP, " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def visible_text_tree(html: pd.Series) -> pd.Series:
     """The same text from a tag walk, for pages with numeric or rare entities."""
     return html.map(lambda h: None if h is None else visible_lines(parse_html(h)))
