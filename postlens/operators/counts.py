@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.operators.scaling import running_totals
+from postlens.session import written
 
 
 def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -54,7 +55,8 @@ def quality_block(current: DataFrame, reference: DataFrame, columns: Sequence[st
 def collapsed_values(df: DataFrame, columns: Sequence[str], **sides: Column) -> DataFrame:
     """Distinct ``(column, value)`` with a row count, or one count per named side.
 
-    A value however frequent becomes one row before the shuffle ends.
+    A value however frequent becomes one row before the shuffle ends. The table is
+    written once, since ordered statistics read it several times.
     """
     measures = sides or {"n": F.lit(1)}
     keep = df.select(
@@ -62,11 +64,10 @@ def collapsed_values(df: DataFrame, columns: Sequence[str], **sides: Column) ->
         *[m.cast("bigint").alias(name) for name, m in measures.items()],
     )
     long = keep.unpivot(list(measures), list(columns), "column", "value")
-    return (
-        long.where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(*[F.sum(name).alias(name) for name in measures])
+    counted = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
+        *[F.sum(name).alias(name) for name in measures]
     )
+    return written(counted, "values")
 
 
 def exact_quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFrame:

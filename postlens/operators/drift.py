@@ -18,6 +18,7 @@ from postlens.operators.counts import collapsed_values, quality_block
 from postlens.operators.order import category_codes, code_table
 from postlens.operators.scaling import running_totals
 from postlens.schemas import DRIFT_COLUMNS
+from postlens.session import written
 
 # fixed values: the default decision rule of the monitoring report
 SMALL_REFERENCE_ROWS = 1000
@@ -256,7 +257,10 @@ def drift_summary(current: DataFrame, reference: DataFrame | None = None,
 
     Without a reference the current table is compared with itself: no drift.
     """
-    reference = current if reference is None else reference
+    # the text behind the features is read once, the narrow features several times
+    columns = [c for c in columns if c in current.columns and (reference is None or c in reference.columns)]
+    current = written(current.select(*columns), "features")
+    reference = current if reference is None else written(reference.select(*columns), "features")
     drift = column_drift(two_sided(reference, current, columns), method)
     flag = dataset_drift(drift).select("dataset_drift")
     quality = quality_block(current, reference, columns)

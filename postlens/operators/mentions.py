@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens.constants import CHUNK_CHARS, KEY_POINT_LIMIT, SUMMARY_MAX_WORDS, SUMMARY_MIN_WORDS, WORD
 from postlens.functions import text as X
-from postlens.operators.scaling import broadcast_if_small
+from postlens.operators.scaling import broadcast_if_small, unrolled
 
 KINDS = ["GPE", "ORG", "DATE", "MONEY"]
 MONEY = r"[$€£₹]\s?\d+(?:[.,]\d+)*"
@@ -31,7 +31,7 @@ def phrase_rows(df: DataFrame, keys: list[str], text: str, longest: int) -> Data
     found = F.regexp_extract_all(F.col(text), F.lit(f"({WORD_RUN})"), 1)
     grown = df.select(*keys, found.alias("_w"))
     frames = [
-        grown.select(*keys, F.posexplode(X.ngrams(F.col("_w"), n)).alias("pos", "phrase"))
+        unrolled(grown, keys, X.ngrams(F.col("_w"), n), "pos", "phrase")
         for n in range(1, longest + 1)
     ]
     out = frames[0]
@@ -76,7 +76,7 @@ def entities(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text",
 def key_points(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text",
                limit: int = KEY_POINT_LIMIT) -> DataFrame:
     """``(key, rank, sentence)``: the first sentences that name an entity."""
-    cut = df.select(key, F.posexplode(X.sentences(F.col(text))).alias("place", "sentence"))
+    cut = unrolled(df, [key], X.sentences(F.col(text)), "place", "sentence")
     named = gazetteer_hits(cut, [key, "place"], "sentence", gazetteer).select(key, "place").distinct()
     by_pattern = cut.where(F.col("sentence").rlike(f"{DATE}|{MONEY}")).select(key, "place")
     marked = named.unionByName(by_pattern).distinct()
@@ -115,10 +115,9 @@ def central_sentences(df: DataFrame, weights: DataFrame, key: str, text: str = "
     ``weights`` is the TF-IDF table of the same texts. The join is on (key, term),
     so frequent words do not gather.
     """
-    cut = df.select(key, F.posexplode(X.chunks(F.col(text), width)).alias("chunk", "_c")).select(
-        key, "chunk", F.posexplode(X.sentences(F.col("_c"))).alias("place", "sentence")
-    )
-    words = cut.select(key, "chunk", "place", F.explode(X.tokens(F.col("sentence"))).alias("term"))
+    parts = unrolled(df, [key], X.chunks(F.col(text), width), "chunk", "_c")
+    cut = unrolled(parts, [key, "chunk"], X.sentences(F.col("_c")), "place", "sentence")
+    words = unrolled(cut, [key, "chunk", "place"], X.tokens(F.col("sentence")), "_i", "term")
     scored = words.join(weights.select(key, "term", "tfidf"), [key, "term"]).groupBy(key, "chunk", "place").agg(
         F.round(F.avg("tfidf"), 9).alias("score")
     )

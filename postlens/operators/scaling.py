@@ -18,6 +18,16 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def unrolled(df: DataFrame, keys: Sequence[str], array: Column, place: str, name: str) -> DataFrame:
+    """``(keys, place, name)``: one row per array element, none for empty arrays.
+
+    The plain form of explode makes the optimizer test the array's size first and so
+    compute it twice; the outer form with a filter after it does not.
+    """
+    rows = df.select(*keys, F.posexplode_outer(array).alias(place, name))
+    return rows.where(F.col(place).isNotNull())
+
+
 def split_count(df: DataFrame) -> int:
     """How many ordered ranges to cut: follows the shuffle width of the session."""
     return min(1024, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -38,11 +48,13 @@ def _range_of(df: DataFrame, key: Column, measures: Sequence[str]) -> DataFrame:
         .limit(split_count(df))
         .agg(F.sort_array(F.collect_set("_k")).alias("_ends"))
     )
-    return (
-        df.withColumn("_ends", ends.scalar())
-        .withColumn("_range", F.size(F.filter("_ends", lambda end: end < key)).cast("int"))
-        .drop("_ends")
+    # halving search for the number of ends below the key
+    steps = [1 << i for i in reversed(range(split_count(df).bit_length()))]
+    place = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda low, s: F.when(F.get("_ends", low + s - 1) < key, low + s).otherwise(low),
     )
+    return df.withColumn("_ends", ends.scalar()).withColumn("_range", F.coalesce(place, F.lit(0))).drop("_ends")
 
 
 def running_totals(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postlens.operators import drift
 from postlens.operators.order import category_codes
-from postlens.plans.registry import Registry, table
+from postlens.plans.registry import Registry, table, wide_table
 from postlens.schemas import DRIFT_COLUMNS
 from postlens.session import scratch_path
 
@@ -101,11 +101,11 @@ def drift_dataset(spark, d):
 
 def monitored(spark, d):
     """Documents as the reference table, conversation turns as the current one."""
-    reference = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(
+    reference = wide_table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left").select(
         "doc_id", "text", F.col("lang").alias("category"), F.col("quality").alias("confidence"),
         F.col("toxic").alias("scam_probability"),
     )
-    current = table(spark, d, "conversations").select("conv_id", "turn", "text", F.col("role").alias("category"))
+    current = wide_table(spark, d, "conversations").select("conv_id", "turn", "text", F.col("role").alias("category"))
     return reference, current
 
 

@@ -13,7 +13,7 @@ from postlens.operators.zero_shot import zero_shot_top
 from postlens.plans import models
 from postlens.plans.catalog_text import SQL_COUNTS, gazetteer
 from postlens.plans.profile import analyze_postings as analyze, text_profile as profile
-from postlens.plans.registry import Registry, table
+from postlens.plans.registry import Registry, table, wide_table
 from postlens.session import scratch_path
 
 R = Registry()
@@ -37,12 +37,12 @@ SELECT d.doc_id, coalesce(item_id, (SELECT min(item_id) FROM benchmark)) AS item
        coalesce(shared, 0) AS shared
 FROM documents d LEFT JOIN (SELECT * FROM best WHERE r = 1) USING (doc_id)""")
 def zero_shot(spark, d):
-    found = zero_shot_top(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
+    found = zero_shot_top(wide_table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "item_id")
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
 def language_texts(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    return wide_table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
 
 
 def split_texts(spark, d):
@@ -70,7 +70,7 @@ def language_regression(spark, d):
 
 def toxic_texts(spark, d):
     labels = table(spark, d, "labels").select("doc_id", F.col("toxic").alias("label"))
-    return table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
+    return wide_table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
 
 
 @lru_cache(maxsize=4)
@@ -104,13 +104,13 @@ def classify_postings(spark, d):
 
 @R.add("score_plugin")
 def score_plugin(spark, d):
-    scored = models.plugin_scores(table(spark, d, "documents").select("doc_id", "text"), CANDIDATE_LABELS)
+    scored = models.plugin_scores(wide_table(spark, d, "documents").select("doc_id", "text"), CANDIDATE_LABELS)
     return scored.select("doc_id", "category", "confidence")
 
 
 @R.add("scam_score")
 def scam_score(spark, d):
-    scored = models.scam_scores(table(spark, d, "documents").select("doc_id", "text"), scam_forest(spark, d))
+    scored = models.scam_scores(wide_table(spark, d, "documents").select("doc_id", "text"), scam_forest(spark, d))
     return scored.select("doc_id", "is_scam", "scam_probability", "p_scam", "features.*")
 
 
@@ -127,7 +127,7 @@ def model_summary(spark, d):
 @R.add("analyze_postings")
 def analyze_postings(spark, d):
     rows = analyze(
-        table(spark, d, "documents").select("doc_id", "text"), language_regression(spark, d), scam_forest(spark, d)
+        wide_table(spark, d, "documents").select("doc_id", "text"), language_regression(spark, d), scam_forest(spark, d)
     )
     return rows.select(
         "doc_id", "category", "confidence", "is_scam", "scam_probability", "risk",
@@ -137,7 +137,7 @@ def analyze_postings(spark, d):
 
 @R.add("text_profile")
 def text_profile(spark, d):
-    return profile(table(spark, d, "documents").select("doc_id", "text"), "doc_id", gazetteer(spark, d))
+    return profile(wide_table(spark, d, "documents").select("doc_id", "text"), "doc_id", gazetteer(spark, d))
 
 
 def priced_lines(spark, d):

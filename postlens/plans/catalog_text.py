@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from postlens import constants as C
 from postlens.functions import parse, signals, text as X
 from postlens.operators import mentions, terms
-from postlens.plans.registry import Registry, table
+from postlens.operators.scaling import unrolled
+from postlens.plans.registry import Registry, table, wide_table
 
 R = Registry()
 
@@ -25,7 +26,7 @@ SQL_SENTENCES = (
 
 
 def documents(spark, d):
-    return table(spark, d, "documents")
+    return wide_table(spark, d, "documents")
 
 
 @R.add("clean_text", f"SELECT doc_id, {SQL_CLEAN} AS clean FROM documents")
@@ -74,7 +75,7 @@ def combine_text(spark, d):
 SELECT doc_id, CAST(i AS INTEGER) AS pos, substring(text, CAST(i * 1024 + 1 AS BIGINT), 1024) AS chunk
 FROM (SELECT doc_id, text, unnest(range(0, CAST(ceil(length(text) / 1024.0) AS BIGINT))) AS i FROM documents)""")
 def chunk_text(spark, d):
-    return documents(spark, d).select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("pos", "chunk"))
+    return unrolled(documents(spark, d), ["doc_id"], X.chunks(F.col("text")), "pos", "chunk")
 
 
 @R.add("nested_get", """
@@ -324,7 +325,7 @@ def gazetteer(spark, d):
     """Names for the entity queries: link words of the pages, nation and region names."""
     from postlens.sources.html import html_links
 
-    word = html_links(table(spark, d, "pages")).select(F.col("text").alias("phrase")).where(
+    word = html_links(wide_table(spark, d, "pages")).select(F.col("text").alias("phrase")).where(
         F.col("phrase").rlike(r"^[\p{L}\p{N}_]{6,}$")
     ).distinct()
     kind = F.when(F.col("phrase").rlike(r"^\p{Lu}"), "GPE").otherwise("ORG")

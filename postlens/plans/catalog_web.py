@@ -8,8 +8,9 @@ from pyspark.sql import functions as F, types as T
 
 from postlens.functions import text as X
 from postlens.operators import filters
+from postlens.operators.scaling import unrolled
 from postlens.plans.catalog_text import SQL_SENTENCES, SQL_STRIP
-from postlens.plans.registry import Registry, table
+from postlens.plans.registry import Registry, table, wide_table
 from postlens.session import scratch_path
 from postlens.sinks import stores
 from postlens.sources import cards, html, rows
@@ -34,12 +35,12 @@ SQL_VISIBLE = (
 
 @R.add("html_visible_text", f"SELECT page_id, {SQL_VISIBLE} AS text FROM pages")
 def html_visible_text(spark, d):
-    return table(spark, d, "pages").select("page_id", html.visible_text(F.col("html")).alias("text"))
+    return wide_table(spark, d, "pages").select("page_id", html.visible_text(F.col("html")).alias("text"))
 
 
 @R.add("html_visible_text_tree", f"SELECT page_id, {SQL_VISIBLE} AS text FROM pages")
 def html_visible_text_tree(spark, d):
-    return table(spark, d, "pages").select("page_id", html.visible_text_tree(F.col("html")).alias("text"))
+    return wide_table(spark, d, "pages").select("page_id", html.visible_text_tree(F.col("html")).alias("text"))
 
 
 SQL_ANCHORS = rf"""
@@ -61,7 +62,7 @@ FROM (SELECT *, {sql_unescape(r"regexp_extract(raw, 'href=.([^\x22]*)', 1)")} AS
 
 @R.add("html_links", SQL_LINKS)
 def html_links(spark, d):
-    return html.html_links(table(spark, d, "pages"))
+    return html.html_links(wide_table(spark, d, "pages"))
 
 
 TEST_KEYWORDS = ["the", "und", "que"]
@@ -70,7 +71,7 @@ SQL_KEYWORDS = " OR ".join(f"contains(lower(text), '{k}') OR contains(lower(href
 
 @R.add("filter_links", f"SELECT * FROM ({SQL_LINKS}) WHERE {SQL_KEYWORDS}")
 def filter_links(spark, d):
-    return filters.filter_links(html.html_links(table(spark, d, "pages")), TEST_KEYWORDS)
+    return filters.filter_links(html.html_links(wide_table(spark, d, "pages")), TEST_KEYWORDS)
 
 
 TEST_CLASSES = {
@@ -86,7 +87,7 @@ SELECT page_id, 'job_listings_' || len(regexp_extract_all(html, '(?i)<div\s[^>]*
   || '_job_details_' || len(regexp_extract_all(html, '(?i)<div\s[^>]*class="[^">]*(?:detail|description|content)[^">]*"')) AS state
 FROM pages""")
 def html_page_state(spark, d):
-    return table(spark, d, "pages").select("page_id", html.page_state(F.col("html"), TEST_CLASSES).alias("state"))
+    return wide_table(spark, d, "pages").select("page_id", html.page_state(F.col("html"), TEST_CLASSES).alias("state"))
 
 
 # Card layouts for the test pages: list items with a link, and the article
@@ -108,7 +109,7 @@ FROM (SELECT page_id, unnest(range(0, len(t))) AS card,
              unnest(list_transform(t, lambda x: {sql_unescape("x")})) AS title
       FROM (SELECT page_id, regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a></li>', 1) AS t FROM pages))""")
 def html_cards(spark, d):
-    return cards.html_cards(table(spark, d, "pages"), LIST_ITEM)
+    return cards.html_cards(wide_table(spark, d, "pages"), LIST_ITEM)
 
 
 SQL_PLAIN = "trim(" + sql_unescape("regexp_replace({0}, '<[^>]*>', '', 'g')") + f", {SQL_STRIP})"
@@ -119,13 +120,14 @@ SELECT page_id, CAST(0 AS INTEGER) AS card, {SQL_PLAIN.format("regexp_extract(ht
        {SQL_PLAIN.format("regexp_extract(html, '(?s)</h1>(.*?)</article>', 1)")} AS description,
        CAST(0 AS DOUBLE) AS salary, CAST(0 AS DOUBLE) AS experience, 'Indeed' AS source FROM pages""")
 def html_cards_source(spark, d):
-    return cards.parsed_cards(cards.html_cards(table(spark, d, "pages"), ARTICLE), "Indeed")
+    return cards.parsed_cards(cards.html_cards(wide_table(spark, d, "pages"), ARTICLE), "Indeed")
 
 
 def ocr_tokens_table(spark, d):
     """Document words as tokens; boxes and confidence follow from place and length."""
     words = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
-    placed = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.posexplode(words).alias("pos", "text"))
+    pages = wide_table(spark, d, "documents").withColumnRenamed("doc_id", "page_id")
+    placed = unrolled(pages, ["page_id"], words, "pos", "text")
     n = F.length("text")
     return placed.select(
         "page_id", "pos", "text", (40 + n * 5).alias("conf"), (F.col("pos") % 12 * 80).alias("left"),
@@ -199,7 +201,7 @@ SELECT doc_id, CAST(pos AS INTEGER) AS pos, text FROM (
   SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS text FROM (SELECT doc_id, {SQL_SENTENCES} AS s FROM documents))""")
 def src_json_strings(spark, d):
     """The sentences of each document as one JSON list, read back."""
-    uploads = table(spark, d, "documents").select("doc_id", F.to_json(X.sentences(F.col("text"))).alias("upload"))
+    uploads = wide_table(spark, d, "documents").select("doc_id", F.to_json(X.sentences(F.col("text"))).alias("upload"))
     return rows.explode_json_strings(uploads, "upload", ("doc_id",))
 
 

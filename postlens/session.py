@@ -51,12 +51,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written copy."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/postlens-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's part of the shared folder."""
+    return f"{_scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written columns.
+
+    For intermediate tables that several branches of a plan read: the work below is
+    done once, lost executors cost no recomputation, and readers prune columns.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application wrote below the shared folder."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(_scratch_root(spark))
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postlens.constants import PAGE_STATE_CLASSES
 from postlens.functions.text import strip
+from postlens.operators.scaling import unrolled
 from postlens.sources.tree import parse_html, visible_lines
 
 # fixed values: named characters resolved by the expression form, ampersand last
@@ -95,7 +96,7 @@ def html_links(pages: DataFrame, key: str = "page_id", html: str = "html", base:
         F.regexp_extract_all(body, F.lit(ANCHOR), 2).alias("inner"),
     )
     keep = [key] + ([base] if base else [])
-    rows = pages.select(*keep, F.posexplode(pairs).alias("pos", "a"))
+    rows = unrolled(pages, keep, pairs, "pos", "a")
     attributes = F.col("a.attributes")
     href = unescape(F.trim(_attribute(attributes, "href")))
     hidden = attributes.rlike(r"(?i)(^|\s)hidden(\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from postlens.constants import OCR_MIN_CONFIDENCE
 from postlens.functions.text import strip
+from postlens.operators.scaling import unrolled
 from postlens.schemas import BANDED_POSTING, POSTING
 
 
@@ -35,7 +36,7 @@ def explode_json_strings(df: DataFrame, column: str, keep: tuple[str, ...] = ())
     checked = F.when(is_list & parsed.isNotNull(), parsed).otherwise(
         F.raise_error(F.lit("expected a JSON list of posting texts")).cast("array<string>")
     )
-    return df.select(*keep, F.posexplode(checked).alias("pos", "text"))
+    return unrolled(df, keep, checked, "pos", "text")
 
 
 def read_json_strings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
