@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.constants import LEVELS_ENTRY
 from postlens.functions.signals import experience_level, rupee_range
+from postlens.operators.scaling import small_side
 
 
 def fit_centres(df: DataFrame, features: Sequence[str], k: int = 3, seed: int = 42) -> list[list[float]]:
@@ -102,7 +103,7 @@ def cluster_ranges(df: DataFrame, cluster: str, value: str) -> DataFrame:
     """
     ranges = df.groupBy(cluster).agg(F.min(value).alias("range_min"), F.max(value).alias("range_max"))
     labelled = ranges.withColumn("salary_range", rupee_range(F.col("range_min"), F.col("range_max")))
-    return df.join(labelled, cluster, "left")
+    return df.join(small_side(labelled, "ranges"), cluster, "left")
 
 
 def salary_bands(df: DataFrame, salary: str = "salary", k: int = 3, seed: int = 0) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from postlens.operators.scaling import running_totals
+from postlens.operators.scaling import running_totals, small_side
 from postlens.session import written
 
 
@@ -150,8 +150,8 @@ def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFra
         "support",
     ).withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
     measures = ["precision", "recall", "f1"]
-    weight = F.col("support") / F.sum("support").over(_all_classes())
-    weighted = per_class.withColumn("_w", weight).agg(
+    whole = per_class.agg(F.sum("support").alias("n")).scalar()
+    weighted = per_class.withColumn("_w", F.col("support") / whole).agg(
         F.lit("weighted avg").alias("label"),
         *[F.sum(F.col(m) * F.col("_w")).alias(m) for m in measures], F.sum("support").alias("support"),
     )
@@ -162,15 +162,14 @@ def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFra
     return per_class.select("label", *measures, "support").unionByName(macro).unionByName(weighted)
 
 
-def _all_classes():
-    """A window over the per-class rows: one row per class, already aggregated."""
-    from pyspark.sql import Window
-
-    return Window.partitionBy()
-
-
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights ``n / (k * n_c)`` from one count per class."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
     share = counts.agg((F.sum("n") / F.count("*")).alias("_share"))
     return counts.select(label, "n", (share.scalar() / F.col("n")).alias("weight"))
+
+
+def with_class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
+    """Every labelled row with the balanced weight of its class; rows are not shuffled."""
+    weights = small_side(class_weights(df, label).select(label, F.col("weight").alias(name)), "class_weights")
+    return df.join(weights, label)

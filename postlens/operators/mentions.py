@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens.constants import CHUNK_CHARS, KEY_POINT_LIMIT, SUMMARY_MAX_WORDS, SUMMARY_MIN_WORDS, WORD
 from postlens.functions import text as X
+from postlens.functions.scores import bind
 from postlens.operators.scaling import broadcast_if_small, unrolled
 
-KINDS = ["GPE", "ORG", "DATE", "MONEY"]
+LISTED_PHRASES = 10_000
 MONEY = r"[$€£₹]\s?\d+(?:[.,]\d+)*"
 DATE = (
     r"\d{4}-\d{2}-\d{2}"
@@ -50,11 +51,54 @@ def gazetteer_hits(df: DataFrame, keys: list[str], text: str, gazetteer: DataFra
     return phrase_rows(df, keys, text, longest).join(broadcast_if_small(listed), "phrase")
 
 
-def entities(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text", longest: int = 1) -> DataFrame:
+def listed_phrases(gazetteer: DataFrame, limit: int = LISTED_PHRASES) -> dict[str, list[str]] | None:
+    """Phrases by kind when the list is short enough to travel with the plan, else None.
+
+    At most ``limit + 1`` rows are fetched to find out.
+    """
+    rows = gazetteer.select("phrase", "kind").distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        return None
+    return {kind: sorted(r.phrase for r in rows if r.kind == kind) for kind in ("GPE", "ORG")}
+
+
+def listed_in_text(text: Column, phrases: Sequence[str], longest: int = 1) -> Column:
+    """Listed phrases of a text in reading order, tested by a hash set in place."""
+    if not phrases:
+        return no_strings()
+    found = F.regexp_extract_all(text, F.lit(f"({WORD_RUN})"), 1)
+
+    def runs(words: Column) -> Column:
+        placed = [
+            F.filter(
+                F.transform(X.ngrams(words, n), lambda p, i: F.struct(i.alias("pos"), p.alias("phrase"))),
+                lambda h: h["phrase"].isin(list(phrases)),
+            )
+            for n in range(1, longest + 1)
+        ]
+        return F.transform(F.array_sort(F.concat(*placed)), lambda h: h["phrase"])
+
+    return bind(found, runs)
+
+
+def no_strings() -> Column:
+    return F.array().cast("array<string>")
+
+
+def entities(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text", longest: int = 1,
+             limit: int = LISTED_PHRASES) -> DataFrame:
     """``(key, locations, organizations, dates, money)`` in reading order.
 
-    Lists stay within one text, so the gathering is bounded by its length.
+    A short gazetteer is tested inside each row, without any shuffle. A long one is
+    joined on the phrase; its lists stay within one text, so gathering is bounded.
     """
+    by_pattern = [pattern_entities(F.col(text), "DATE").alias("dates"), pattern_entities(F.col(text), "MONEY").alias("money")]
+    listed = listed_phrases(gazetteer, limit)
+    if listed is not None:
+        return df.select(
+            key, listed_in_text(F.col(text), listed["GPE"], longest).alias("locations"),
+            listed_in_text(F.col(text), listed["ORG"], longest).alias("organizations"), *by_pattern,
+        )
     hits = gazetteer_hits(df, [key], text, gazetteer, longest)
     gathered = hits.groupBy(key).agg(*[
         F.transform(
@@ -63,21 +107,30 @@ def entities(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text",
         ).alias(name)
         for kind, name in (("GPE", "locations"), ("ORG", "organizations"))
     ])
-    by_pattern = df.select(
-        key, pattern_entities(F.col(text), "DATE").alias("dates"), pattern_entities(F.col(text), "MONEY").alias("money")
-    )
-    none = F.array().cast("array<string>")
-    return by_pattern.join(gathered, key, "left").select(
-        key, F.coalesce("locations", none).alias("locations"),
-        F.coalesce("organizations", none).alias("organizations"), "dates", "money",
+    return df.select(key, *by_pattern).join(gathered, key, "left").select(
+        key, F.coalesce("locations", no_strings()).alias("locations"),
+        F.coalesce("organizations", no_strings()).alias("organizations"), "dates", "money",
     )
 
 
+def named_sentences(text: Column, phrases: Sequence[str], limit: int = KEY_POINT_LIMIT, longest: int = 1) -> Column:
+    """The first sentences that hold a listed phrase, a date or an amount."""
+    def names(sentence: Column) -> Column:
+        by_pattern = sentence.rlike(f"{DATE}|{MONEY}")
+        return by_pattern | (F.size(listed_in_text(sentence, phrases, longest)) > 0) if phrases else by_pattern
+
+    return F.slice(F.filter(X.sentences(text), names), 1, limit)
+
+
 def key_points(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text",
-               limit: int = KEY_POINT_LIMIT) -> DataFrame:
+               limit: int = KEY_POINT_LIMIT, longest: int = 1, phrase_limit: int = LISTED_PHRASES) -> DataFrame:
     """``(key, rank, sentence)``: the first sentences that name an entity."""
+    listed = listed_phrases(gazetteer, phrase_limit)
+    if listed is not None:
+        points = named_sentences(F.col(text), listed["GPE"] + listed["ORG"], limit, longest)
+        return unrolled(df, [key], points, "_p", "sentence").select(key, (F.col("_p") + 1).alias("rank"), "sentence")
     cut = unrolled(df, [key], X.sentences(F.col(text)), "place", "sentence")
-    named = gazetteer_hits(cut, [key, "place"], "sentence", gazetteer).select(key, "place").distinct()
+    named = gazetteer_hits(cut, [key, "place"], "sentence", gazetteer, longest).select(key, "place").distinct()
     by_pattern = cut.where(F.col("sentence").rlike(f"{DATE}|{MONEY}")).select(key, "place")
     marked = named.unionByName(by_pattern).distinct()
     rank = F.row_number().over(Window.partitionBy(key).orderBy("place"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postlens.constants import EPISODE_MAX_STEPS, STUB_CONFIDENCE, TRADE_LABELS
-from postlens.operators.scaling import first_per_group, with_position
+from postlens.operators.scaling import first_per_group, small_side, with_position
 
 
 def round_robin_label(df: DataFrame, order: str, labels: Sequence[str] = TRADE_LABELS,
@@ -35,7 +35,7 @@ def category_codes(df: DataFrame, column: str, codes: DataFrame | None = None,
                    name: str = "category_encoded") -> DataFrame:
     """Code of each value, -1 for null; pass ``codes`` to share them between frames."""
     codes = code_table([df], column) if codes is None else codes
-    coded = df.join(codes, column, "left")
+    coded = df.join(small_side(codes, "codes"), column, "left")
     return coded.select(*df.columns, F.coalesce("code", F.lit(-1)).cast("int").alias(name))
 
 
@@ -43,18 +43,22 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.2, se
                      cut_digits: int = 3) -> DataFrame:
     """Adds ``is_test``: exactly ``round(share * n_c)`` rows of each class.
 
-    Rows of a class are ranked by the hash of key and seed; the leading hash digits
-    cut a class into even ranges, so a dominant class is ranked by many tasks.
+    Rows of a class are ranked by the hash of key and seed, on the key and label alone;
+    the leading hash digits cut a class into even ranges, so a dominant class is ranked
+    by many tasks. The last test row of each class is a threshold the whole rows are
+    compared with, so wide rows are never shuffled.
     """
-    hashed = df.where(F.col(label).isNotNull()).withColumn(
-        "_h", F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")))
-    )
     # the key breaks the practically impossible tie of two hashes
-    ordered = hashed.withColumn("_order", F.struct("_h", key))
-    placed = with_position(ordered, "_order", "_i", [label], F.substring("_h", 1, cut_digits))
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    return placed.join(sizes, label).select(
-        *df.columns, (F.col("_i") < F.round(F.col("_n") * share)).alias("is_test")
+    place = F.struct(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))).alias("h"), F.col(key).alias("k"))
+    labelled = df.where(F.col(label).isNotNull())
+    narrow = labelled.select(label, place.alias("_order"))
+    placed = with_position(narrow, "_order", "_i", [label], F.substring("_order.h", 1, cut_digits))
+    sizes = narrow.groupBy(label).agg(F.round(F.count("*") * share).cast("bigint").alias("_take"))
+    last = placed.join(sizes, label).where(F.col("_i") == F.col("_take") - 1).select(label, F.col("_order").alias("_last"))
+    thresholds = small_side(last, "split_thresholds")
+    # a class too small for a test row has no threshold
+    return labelled.join(thresholds, label, "left").select(
+        *df.columns, F.coalesce(place <= F.col("_last"), F.lit(False)).alias("is_test")
     )
 
 

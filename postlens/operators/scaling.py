@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from postlens.session import written
+
 BROADCAST_ROWS = 100_000
 HEAVY_KEYS = 2_000
 
@@ -18,6 +20,15 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """An aggregated side of a join with a large table, written once and then checked.
+
+    Without the check the planner would estimate the aggregate by its input and
+    shuffle the large table before learning how small this side is.
+    """
+    return broadcast_if_small(written(df, name), max_rows)
+
+
 def unrolled(df: DataFrame, keys: Sequence[str], array: Column, place: str, name: str) -> DataFrame:
     """``(keys, place, name)``: one row per array element, none for empty arrays.
 

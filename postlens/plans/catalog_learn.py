@@ -50,16 +50,11 @@ def split_texts(spark, d):
     return flagged.where(~F.col("is_test")).drop("is_test"), flagged.where("is_test").drop("is_test")
 
 
-def weighted(train):
-    weights = counts.class_weights(train, "label").select("label", "weight")
-    return train.join(weights, "label")
-
-
 @lru_cache(maxsize=4)
 def language_forest(spark, d):
     """The balanced forest on the training part; fitted once per session and folder."""
     train, _ = split_texts(spark, d)
-    return models.train_forest(weighted(train), config=models.BIGRAMS_5000, trees=300, max_depth=12, weight="weight")
+    return models.train_forest(counts.with_class_weights(train, "label"), config=models.BIGRAMS_5000, trees=300, max_depth=12, weight="weight")
 
 
 @lru_cache(maxsize=4)
