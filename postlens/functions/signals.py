@@ -98,3 +98,11 @@ def rupee_range(low: Column, high: Column) -> Column:
 def nested_number(json: Column, path: str) -> Column:
     """A number below a JSON text, 0 where the text or the key is missing."""
     return F.coalesce(F.get_json_object(json, path).try_cast("double"), F.lit(0.0))
+
+
+def percent(share: Column, places: int = 1) -> Column:
+    return F.format_string(f"%.{places}f%%", share * 100)
+
+
+def time_text(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")

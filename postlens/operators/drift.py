@@ -70,13 +70,11 @@ def two_sided_by(df: DataFrame, columns: Sequence[str], is_reference: Column) ->
 
 
 def side_sizes(values: DataFrame) -> DataFrame:
-    return values.groupBy("column").agg(
+    """Rows and distinct values per column; one row per monitored column, so broadcast."""
+    return F.broadcast(values.groupBy("column").agg(
         F.sum("n_ref").alias("ref_rows"), F.sum("n_cur").alias("cur_rows"),
         F.count_if(F.col("n_ref") > 0).alias("ref_values"), F.count("*").alias("all_values"),
-        # population spread of the reference from weighted counts
-        F.sum(F.col("n_ref") * F.col("value")).alias("_sum"),
-        F.sum(F.col("n_ref") * F.col("value") * F.col("value")).alias("_sumsq"),
-    )
+    ))
 
 
 def _distribution_gap(values: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -85,7 +83,7 @@ def _distribution_gap(values: DataFrame, sizes: DataFrame) -> DataFrame:
         values, "value", {"upto_ref": F.col("n_ref"), "upto_cur": F.col("n_cur")}, ["column"], following="next_value"
     )
     gap = F.abs(F.col("upto_ref") / F.col("ref_rows") - F.col("upto_cur") / F.col("cur_rows"))
-    return running.join(sizes.select("column", "ref_rows", "cur_rows"), "column").withColumn("gap", gap)
+    return running.join(sizes, "column").withColumn("gap", gap)
 
 
 def ks_p_value(statistic: Column, n: Column, m: Column, terms: int = KS_TERMS) -> Column:
@@ -112,7 +110,7 @@ def wasserstein(values: DataFrame, deviations: DataFrame) -> DataFrame:
     """
     gaps = _distribution_gap(values, side_sizes(values))
     area = F.sum(F.col("gap") * (F.col("next_value") - F.col("value")))
-    return gaps.groupBy("column").agg(F.coalesce(area, F.lit(0.0)).alias("_area")).join(deviations, "column").select(
+    return gaps.groupBy("column").agg(F.coalesce(area, F.lit(0.0)).alias("_area")).join(F.broadcast(deviations), "column").select(
         "column", (F.col("_area") / F.greatest("deviation", F.lit(LEAST_DEVIATION))).alias("distance")
     )
 
@@ -124,7 +122,7 @@ def reference_deviations(values: DataFrame) -> DataFrame:
     """
     means = values.groupBy("column").agg((F.sum(F.col("n_ref") * F.col("value")) / F.sum("n_ref")).alias("_mean"))
     d = F.col("value") - F.col("_mean")
-    return values.join(means, "column").groupBy("column").agg(
+    return values.join(F.broadcast(means), "column").groupBy("column").agg(
         F.sqrt(F.sum(F.col("n_ref") * d * d) / F.sum("n_ref")).alias("deviation")
     )
 

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from postlens.constants import EPISODE_MAX_STEPS, STUB_CONFIDENCE, TRADE_LABELS
-from postlens.operators.scaling import first_per_group, small_side, with_position
+from postlens.operators.scaling import first_per_group, fits, small_side, with_position
+from postlens.session import written
 
 
 def round_robin_label(df: DataFrame, order: str, labels: Sequence[str] = TRADE_LABELS,
@@ -23,19 +24,22 @@ def round_robin_label(df: DataFrame, order: str, labels: Sequence[str] = TRADE_L
 
 
 def code_table(frames: Sequence[DataFrame], column: str) -> DataFrame:
-    """Codes of the sorted distinct values over all given frames."""
+    """Codes of the sorted distinct values over all given frames, written once."""
     values = frames[0].select(column)
     for frame in frames[1:]:
         values = values.unionByName(frame.select(column))
-    distinct = values.where(F.col(column).isNotNull()).distinct()
-    return with_position(distinct, column, "code")
+    distinct = written(values.where(F.col(column).isNotNull()).distinct(), "categories")
+    if fits(distinct):
+        code = F.row_number().over(Window.orderBy(column)).cast("bigint") - 1
+        return F.broadcast(distinct.withColumn("code", code))
+    return small_side(with_position(distinct, column, "code"), "codes")
 
 
 def category_codes(df: DataFrame, column: str, codes: DataFrame | None = None,
                    name: str = "category_encoded") -> DataFrame:
     """Code of each value, -1 for null; pass ``codes`` to share them between frames."""
     codes = code_table([df], column) if codes is None else codes
-    coded = df.join(small_side(codes, "codes"), column, "left")
+    coded = df.join(codes, column, "left")
     return coded.select(*df.columns, F.coalesce("code", F.lit(-1)).cast("int").alias(name))
 
 

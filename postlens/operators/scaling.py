@@ -12,12 +12,14 @@ BROADCAST_ROWS = 100_000
 HEAVY_KEYS = 2_000
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` fits; else leave the join to AQE.
+def fits(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; counting stops one row later."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
-    The count stops at ``max_rows + 1`` rows, so a large side costs no full pass.
-    """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast only after counting that ``df`` fits; else leave the join to AQE."""
+    return F.broadcast(df) if fits(df, max_rows) else df
 
 
 def small_side(df: DataFrame, name: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -168,6 +168,22 @@ def drift_scores(spark, d):
     return drift.drift_scores(summary(spark, d))
 
 
+@R.add("drift_rollup", f"""
+SELECT bool_or(dataset_drift) AS dataset_drift, string_agg("column", ', ' ORDER BY "column") FILTER (WHERE drifted) AS drift_columns,
+       max(current_rows) AS current_rows, max(reference_rows) AS reference_rows, CAST(sum(missing) AS BIGINT) AS missing,
+       round(max(drift_score), 6) AS top_score FROM ({SQL_SUMMARY})""")
+def drift_rollup(spark, d):
+    """The one-row summary, its lists and maps flattened."""
+    rolled = drift.summary_rollup(summary(spark, d))
+    quality = F.col("data_quality")
+    total = F.aggregate(F.map_values(quality["missing_values"]), F.lit(0).cast("bigint"), lambda acc, n: acc + n)
+    return rolled.select(
+        "dataset_drift", F.array_join("drift_columns", ", ").alias("drift_columns"), quality["current_rows"].alias("current_rows"),
+        quality["reference_rows"].alias("reference_rows"), total.alias("missing"),
+        F.array_max(F.map_values("drift_scores")).alias("top_score"),
+    )
+
+
 @R.add("drift_tests")
 def drift_tests(spark, d):
     """Tests or distances by reference size, per column, with their decision."""

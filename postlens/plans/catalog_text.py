@@ -304,13 +304,17 @@ def tfidf(spark, d):
     return terms.tfidf(documents(spark, d), "doc_id").withColumn("tfidf", F.round("tfidf", 6))
 
 
+def sql_bigram_counts(tokens: str) -> str:
+    return f"""SELECT doc_id, term, count(*) AS tf
+      FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
+            FROM (SELECT doc_id, {tokens} AS w FROM documents)) GROUP BY doc_id, term"""
+
+
 SQL_KEPT = f"list_filter({SQL_TOKENS}, lambda w: w NOT IN ({SQL_STOPS}))"
 
 
 @R.add("tfidf_ngrams", sql_tfidf(
-    f"""SELECT doc_id, term, count(*) AS tf
-      FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1]))) AS term
-            FROM (SELECT doc_id, {SQL_KEPT} AS w FROM documents)) GROUP BY doc_id, term""",
+    sql_bigram_counts(SQL_KEPT),
     """SELECT term, df FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM counts GROUP BY term)
        WHERE df >= 2 AND df <= 0.95 * (SELECT count(*) FROM documents) ORDER BY total DESC, term LIMIT 5000""",
 ))
@@ -321,6 +325,44 @@ def tfidf_ngrams(spark, d):
     return weights.withColumn("tfidf", F.round("tfidf", 6))
 
 
+SQL_TOP_1000 = """SELECT term, df FROM (SELECT term, count(*) AS df, sum(tf) AS total FROM counts GROUP BY term)
+       ORDER BY total DESC, term LIMIT 1000"""
+
+
+@R.add("tfidf_bigrams", sql_tfidf(sql_bigram_counts(SQL_TOKENS), "SELECT term, count(*) AS df FROM counts GROUP BY term"))
+def tfidf_bigrams(spark, d):
+    return terms.tfidf(documents(spark, d), "doc_id", ngram_max=2).withColumn("tfidf", F.round("tfidf", 6))
+
+
+@R.add("tfidf_bigrams_1000", sql_tfidf(sql_bigram_counts(SQL_KEPT), SQL_TOP_1000))
+def tfidf_bigrams_1000(spark, d):
+    weights = terms.tfidf(documents(spark, d), "doc_id", ngram_max=2, stop_words=C.STOP_WORDS, max_features=1000)
+    return weights.withColumn("tfidf", F.round("tfidf", 6))
+
+
+@R.add("tfidf_1000", sql_tfidf(SQL_COUNTS, SQL_TOP_1000))
+def tfidf_1000(spark, d):
+    return terms.tfidf(documents(spark, d), "doc_id", max_features=1000).withColumn("tfidf", F.round("tfidf", 6))
+
+
+@R.add("vocabulary_head", f"""
+WITH counts AS ({SQL_COUNTS}), terms AS (SELECT term, count(*) AS df FROM counts GROUP BY term)
+SELECT term, df, (SELECT count(*) FROM terms) AS size FROM terms ORDER BY term LIMIT 10""")
+def vocabulary_head(spark, d):
+    docs = documents(spark, d)
+    fitted = terms.vocabulary(terms.term_counts(docs, "doc_id"), docs.agg(F.count("*").alias("n")))
+    return terms.vocabulary_head(fitted)
+
+
+@R.add("display_fields", """
+SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, printf('%.1f', (event_id % 8) / 8.0 * 100) || '%' AS share FROM events""")
+def display_fields(spark, d):
+    share = F.col("event_id") % 8 / 8
+    return table(spark, d, "events").select(
+        "event_id", signals.time_text(F.col("ts").cast("timestamp")).alias("at"), signals.percent(share).alias("share")
+    )
+
+
 def gazetteer(spark, d):
     """Names for the entity queries: link words of the pages, nation and region names."""
     from postlens.sources.html import html_links

@@ -65,7 +65,8 @@ def _or_default(df: DataFrame, name: str, default) -> Column:
 
 def store_rows(df: DataFrame, at: datetime | Column, metadata_json: bool = True) -> DataFrame:
     """Rows of the result store: defaults filled and one time for the batch."""
-    when = at if isinstance(at, Column) else F.lit(at)
+    # spelled out, so the time does not move with the time zone of session or driver
+    when = at if isinstance(at, Column) else F.lit(at.isoformat(sep=" "))
     if "metadata" in df.columns:
         metadata = F.coalesce(F.to_json("metadata"), F.lit("{}")) if metadata_json else F.col("metadata")
     else:
