@@ -127,8 +127,12 @@ def accuracy(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def classification_report(df: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """Precision, recall, f1 and support per class, then macro and weighted means."""
-    pairs = confusion(df, actual, predicted)
+    """Precision, recall, f1 and support per class, then macro and weighted means.
+
+    The class pairs are written once: scoring behind them may be costly, and every mean
+    reads them again.
+    """
+    pairs = written(confusion(df, actual, predicted), "confusion")
     sides = pairs.select(
         F.explode(F.array(
             F.struct(F.col("actual").alias("label"), F.lit(True).alias("is_actual")),

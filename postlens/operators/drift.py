@@ -297,12 +297,12 @@ def drift_by_window(df: DataFrame, time: str, value: str, reference: DataFrame,
     reference is counted once per window through its collapsed values.
     """
     start = F.window(time, width)["start"]
-    current = df.where(F.col(value).isNotNull()).groupBy(
+    current = written(df.where(F.col(value).isNotNull()).groupBy(
         start.alias("window_start"), F.col(value).cast("double").alias("value")
-    ).agg(F.count("*").alias("n_cur"))
-    fixed = reference.where(F.col(value).isNotNull()).groupBy(
+    ).agg(F.count("*").alias("n_cur")), "window_values")
+    fixed = written(reference.where(F.col(value).isNotNull()).groupBy(
         F.col(value).cast("double").alias("value")
-    ).agg(F.count("*").alias("n_ref"))
+    ).agg(F.count("*").alias("n_ref")), "reference_values")
     # F_ref at a value of the window: the windows bring their own values only, and a
     # reference value between two of them is seen from the last value before it
     marks = current.select("value").distinct().withColumn("_mark", F.lit(1)).join(fixed, "value", "full_outer")
