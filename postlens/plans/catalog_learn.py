@@ -6,17 +6,18 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from postlens.constants import CANDIDATE_LABELS
+from postlens.constants import CANDIDATE_LABELS, SALARY_PATTERNS, SKILL_PATTERNS
 from postlens.operators import clusters, counts
 from postlens.operators.order import stratified_split
 from postlens.operators.zero_shot import zero_shot_top
 from postlens.plans import models
-from postlens.plans.catalog_text import SQL_COUNTS, gazetteer
+from postlens.plans.catalog_text import R as TEXT, SQL_COUNTS, gazetteer, sql_skills
 from postlens.plans.profile import analyze_postings as analyze, text_profile as profile
 from postlens.plans.registry import Registry, table, wide_table
 from postlens.session import scratch_path
 
 R = Registry()
+PARTS = TEXT.oracles
 
 
 @R.add("zero_shot", rf"""
@@ -130,9 +131,30 @@ def analyze_postings(spark, d):
     )
 
 
-@R.add("text_profile")
+SQL_AMOUNTS = ", ".join(
+    f"TRY_CAST(replace(coalesce({', '.join(f"nullif(regexp_extract(lower(text), '{p}', {g}), '')" for p in SALARY_PATTERNS)}), ',', '') AS DOUBLE) AS {n}"
+    for g, n in ((1, "min_salary"), (2, "max_salary"))
+)
+
+
+@R.add("text_profile", f"""
+WITH points AS (SELECT doc_id, string_agg(sentence, '|' ORDER BY rank) AS key_points FROM ({PARTS["key_points"]}) GROUP BY doc_id)
+SELECT doc_id, summary, coalesce(key_points, '') AS key_points, locations, organizations, dates, money, skills,
+       min_salary, max_salary, email, phone, original_length, summary_length, compression_ratio
+FROM ({PARTS["summarize"]}) JOIN ({PARTS["entities"]}) USING (doc_id) JOIN ({sql_skills(SKILL_PATTERNS)}) USING (doc_id)
+JOIN ({PARTS["contacts"]}) USING (doc_id) JOIN (SELECT doc_id, {SQL_AMOUNTS} FROM documents) USING (doc_id)
+LEFT JOIN points USING (doc_id)""")
 def text_profile(spark, d):
-    return profile(wide_table(spark, d, "documents").select("doc_id", "text"), "doc_id", gazetteer(spark, d))
+    """The nested profile, its lists joined and its structs spread out."""
+    rows = profile(wide_table(spark, d, "documents").select("doc_id", "text"), "doc_id", gazetteer(spark, d))
+    lists = ["locations", "organizations", "dates", "money", "skills"]
+    return rows.select(
+        "doc_id", "summary", F.array_join("key_points", "|").alias("key_points"),
+        *[F.array_join(F.col("entities")[x], "|").alias(x) for x in lists],
+        "salary.min_salary", "salary.max_salary", "contact.email", "contact.phone",
+        "text_stats.original_length", "text_stats.summary_length",
+        F.round("text_stats.compression_ratio", 6).alias("compression_ratio"),
+    )
 
 
 def priced_lines(spark, d):

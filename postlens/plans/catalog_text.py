@@ -236,13 +236,17 @@ def _sql_skill(trigger: str) -> str:
     return f"regexp_extract_all(low, '{trigger.replace(chr(92) + 'b', SQL_EDGE)}', 1)"
 
 
-@R.add("skills", f"""
+def sql_skills(patterns) -> str:
+    return f"""
 SELECT doc_id, CAST(len(found) AS INTEGER) AS n, array_to_string(found, '|') AS skills
 FROM (SELECT doc_id, list_transform(list_filter(list_zip(every, range(1, len(every) + 1)),
                lambda p: list_position(every, p[1]) = p[2]), lambda p: p[1]) AS found
-      FROM (SELECT doc_id, list_transform(list_concat({', '.join(map(_sql_skill, TEST_TRIGGERS))}),
+      FROM (SELECT doc_id, list_transform(list_concat({', '.join(map(_sql_skill, patterns))}),
                                          lambda s: trim(s, {SQL_STRIP})) AS every
-            FROM (SELECT doc_id, lower(text) AS low FROM documents)))""")
+            FROM (SELECT doc_id, lower(text) AS low FROM documents)))"""
+
+
+@R.add("skills", sql_skills(TEST_TRIGGERS))
 def skills(spark, d):
     found = signals.skills(F.col("text"), TEST_TRIGGERS)
     return documents(spark, d).select("doc_id", found.alias("s")).select(

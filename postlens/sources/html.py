@@ -43,9 +43,11 @@ def visible_text_tree(html: pd.Series) -> pd.Series:
 
 
 def _attribute(attributes: Column, name: str) -> Column:
-    quoted = F.regexp_extract(attributes, rf"""(?is)(?:^|\s){name}\s*=\s*(?:"([^"]*)"|'[^']*')""", 1)
-    single = F.regexp_extract(attributes, rf"""(?is)(?:^|\s){name}\s*=\s*'([^']*)'""", 1)
-    return F.coalesce(F.nullif(quoted, F.lit("")), single)
+    """Value of an attribute in double, single or no quotes."""
+    head = rf"(?is)(?:^|\s){name}\s*=\s*"
+    forms = [rf'{head}"([^"]*)"', rf"{head}'([^']*)'", rf"""{head}([^\s"'>]+)"""]
+    found = [F.nullif(F.regexp_extract(attributes, form, 1), F.lit("")) for form in forms]
+    return F.coalesce(*found, F.lit(""))
 
 
 def resolve(base: Column, href: Column) -> Column:

@@ -69,11 +69,11 @@ def test_links_resolve_like_the_standard_library(spark, base, href):
 
 
 def test_links(spark):
-    body = """<a href="/a"> A <b>x</b></a><a href='#top'>t</a><a href="">e</a><a class="z" href="http://o.p/">O</a>
+    body = """<a href="/a"> A <b>x</b></a><a href='#top'>t</a><a href="">e</a><a class="z" href="http://o.p/">O</a><a href=u/v>U</a>
     <a hidden href="c">C</a><!-- <a href="/no">no</a> --><script>'<a href="/js">js</a>'</script>"""
     pages = spark.createDataFrame([(1, "http://s.t/d/", body)], "page_id int, url string, html string")
     got = [(r.text, r.href, r.visible) for r in html.html_links(pages).orderBy("pos").collect()]
-    assert got == [("A x", "http://s.t/a", True), ("O", "http://o.p/", True), ("C", "http://s.t/d/c", False)]
+    assert got == [("A x", "http://s.t/a", True), ("O", "http://o.p/", True), ("U", "http://s.t/d/u/v", True), ("C", "http://s.t/d/c", False)]
 
 
 def test_page_state(spark):
