@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlens.llm import bpe, line_dedup, near_dedup, packing, quality, secrets
+from postlens.llm import (
+    bpe, line_dedup, near_dedup, neighbours, packing, quality, quality_model, secrets, substring_dedup, token_counts,
+)
 from postlens.plans.registry import Registry, table
+from postlens.session import scratch_path
 
 R = Registry()
 
+END_OF_TEXT = 50256
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.json")
 RANK_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -74,6 +78,11 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@R.add("op4_substring_dedup")
+def op4_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_passages(table(spark, folder, "documents"))
+
+
 @R.add("op5_bpe_round_trip")
 def op5_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -100,6 +109,44 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                          "base_failed", "kept", "zstd_ratio", "n_chunks", "n_bad_chunks")
 
 
+@R.add("op8_token_counts")
+def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as flat token files, then one row per document found in them."""
+    files = scratch_path(spark, "flat")
+    token_counts.write_flat(table(spark, folder, "documents"), BPE_FILE, files, END_OF_TEXT)
+    found = token_counts.count_tokens(spark, files, END_OF_TEXT)
+    shard = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")
+    return found.select(shard.alias("shard"), "doc_no", "start", "n_tokens", "ended")
+
+
+@R.add("op9_quality_classifier")
+def op9_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_model.train(docs, quality_model.grades_of(table(spark, folder, "labels")))
+    return quality_model.score(docs, model).select("doc_id", "expected_grade", "tail_probability", "kept")
+
+
+OP10_SQL = """
+WITH vectors AS (
+    SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS (
+    SELECT q.vec_id AS query_id, c.vec_id, min(sqrt(list_reduce(
+        list_transform(list_zip(q.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])), lambda a, b: a + b))) AS score
+    FROM vectors q JOIN vectors c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+    WHERE q.vec_id % 100 = 0 GROUP BY q.vec_id, c.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM pairs QUALIFY rank <= 10
+"""
+
+
+@R.add("op10_vantage_point_search", OP10_SQL)
+def op10_vantage_point_search(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0, k=10, factor=1.0)
+
+
 def queries() -> dict:
     return dict(R.queries)
 
