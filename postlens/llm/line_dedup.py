@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from postlens.llm.words import carried, restored
 from postlens.operators.scaling import unrolled
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -62,15 +63,15 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     columns are named with ``prefix``; an input column of the same name is replaced.
     """
     drops = repeated_line_positions(docs, id_col, text_col, min_chars, min_docs)
-    joined = docs.join(drops.withColumnRenamed("_id", "_drop_id"), F.col(id_col) == F.col("_drop_id"), "left")
-    joined = joined.withColumn("_lines", lines_of(F.col(text_col)))
+    rows = docs.select(F.col(id_col).alias("_key"), carried(docs))
+    joined = rows.join(drops, F.col("_key") == F.col("_id"), "left")
+    joined = joined.withColumn("_lines", lines_of(F.col(f"_row.`{text_col}`")))
     count = F.size("_lines")
-    dropped = F.coalesce(F.size("_drop"), F.lit(0))
     # array_except works by hash, so a text of very many lines stays linear
     places = F.array_except(F.sequence(F.lit(0), count - 1), F.col("_drop"))
     kept = F.transform(places, lambda i: F.get("_lines", i))
-    text = F.when(F.col("_drop").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    out = joined.withColumns({
-        f"{prefix}n_lines": count.cast("bigint"), f"{prefix}n_dropped": dropped.cast("bigint"), text_col: text,
+    text = F.when(F.col("_drop").isNull(), F.array_join("_lines", "\n")).otherwise(F.array_join(kept, "\n"))
+    return restored(joined, docs.columns, {
+        text_col: text, f"{prefix}n_lines": count.cast("bigint"),
+        f"{prefix}n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("bigint"),
     })
-    return out.drop("_drop", "_drop_id", "_lines")

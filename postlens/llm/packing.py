@@ -13,6 +13,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens.llm.tokens import packed_ids
+from postlens.llm.words import carried, restored
 from postlens.session import written
 
 PLAN_SCHEMA = "length bigint, first_rank bigint, end_rank bigint, first_sequence bigint, per_sequence bigint, base bigint"
@@ -105,24 +106,25 @@ def best_fit(pieces: DataFrame, capacity: int = 1024, id_col: str = "doc_id", pi
 
     # ranks within a length: counted in parts first, so that no length fills a task
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.withColumn("_part", F.pmod(F.xxhash64(id_col, piece_col), F.lit(parts)))
-    by_part = dealt.groupBy(F.col(length_col).alias("_length"), F.col("_part").alias("_p")).count()
-    before = Window.partitionBy("_length").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = by_part.select("_length", "_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(length_col, "_part").orderBy(id_col, piece_col)
-    ranked = dealt.withColumn("_row", F.row_number().over(inside))
-    ranked = ranked.join(
-        starts, (F.col(length_col).eqNullSafe(F.col("_length"))) & (F.col("_part") == F.col("_p")), "left"
-    ).withColumn("_rank", F.col("_before") + F.col("_row") - 1)
-
-    slots = F.broadcast(plan.withColumnRenamed("length", "_slot_length"))
-    placed = ranked.join(slots, (F.col(length_col) == F.col("_slot_length")) & (F.col("_rank") >= F.col("first_rank"))
-                         & (F.col("_rank") < F.col("end_rank")), "left")
+    order = [F.col(id_col).alias("_key"), F.col(piece_col).alias("_piece")]
+    rows = pieces.select(carried(pieces), *order, F.col(length_col).alias("_length"))
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_key", "_piece"), F.lit(parts)))
+    by_part = rows.groupBy(F.col("_length").alias("_l"), F.col("_part").alias("_p")).count()
+    before = Window.partitionBy("_l").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = by_part.select("_l", "_p", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_length", "_part").orderBy("_key", "_piece")
+    ranked = rows.withColumn("_nth", F.row_number().over(inside))
+    ranked = ranked.join(starts, F.col("_length").eqNullSafe(F.col("_l")) & (F.col("_part") == F.col("_p")), "left")
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_nth") - 1)
+
+    at_rank = (F.col("_rank") >= F.col("first_rank")) & (F.col("_rank") < F.col("end_rank"))
+    placed = ranked.join(F.broadcast(plan), (F.col("_length") == F.col("length")) & at_rank, "left")
     slot = F.col("_rank") - F.col("first_rank")
     sequence = F.col("first_sequence") + F.floor(slot / F.col("per_sequence"))
-    offset = F.col("base") + (slot % F.col("per_sequence")) * F.col(length_col)
-    return placed.select(*[F.col(c) for c in pieces.columns], sequence.cast("bigint").alias("sequence_id"),
-                         offset.cast("bigint").alias("offset"))
+    offset = F.col("base") + (slot % F.col("per_sequence")) * F.col("_length")
+    return restored(placed, pieces.columns, {
+        "sequence_id": sequence.cast("bigint"), "offset": offset.cast("bigint"),
+    })
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2,

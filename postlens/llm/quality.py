@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.words import texts_of, window_hashes, word_hashes
+from postlens.llm.words import carried, restored, texts_of, window_hashes, word_hashes
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -93,7 +93,6 @@ def quality_rules(docs: DataFrame, text_col: str = "text", bands: Bands = Bands(
     gives an empty one. An input column of an added column's name is replaced.
     """
     kinds = [part.split() for part in SCHEMA.split(", ")]
-    struct = "_quality"
     arrow = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     shape = pa.struct([(name, arrow[kind]) for name, kind in kinds])
 
@@ -107,5 +106,5 @@ def quality_rules(docs: DataFrame, text_col: str = "text", bands: Bands = Bands(
                 [pa.array(list(c), shape.field(i).type) for i, c in enumerate(columns)], fields=list(shape)
             )
 
-    judged = docs.withColumn(struct, judge(F.col(text_col)))
-    return judged.withColumns({f"{prefix}{name}": F.col(f"{struct}.{name}") for name, _ in kinds}).drop(struct)
+    judged = docs.select(carried(docs), judge(F.col(text_col)).alias("_judged"))
+    return restored(judged, docs.columns, {f"{prefix}{name}": F.col(f"_judged.{name}") for name, _ in kinds})

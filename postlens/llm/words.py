@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import Column, DataFrame, functions as F
 
 MIXER = np.uint64(0x9E3779B97F4A7C15)
 FINAL = np.uint64(0xBF58476D1CE4E5B9)
@@ -55,3 +56,14 @@ def shingle_set(words: list[bytes], size: int) -> np.ndarray:
     if not words:
         return np.empty(0, np.uint64)
     return np.unique(window_hashes(word_hashes(words), min(size, len(words))))
+
+
+def carried(df: DataFrame) -> Column:
+    """All columns of a row as one struct, so that names made on the way cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def restored(df: DataFrame, columns: list[str], new: dict[str, Column]) -> DataFrame:
+    """The columns carried in ``_row`` in their order, with ``new`` replaced in place or added."""
+    old = [new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in columns]
+    return df.select(*old, *[value.alias(name) for name, value in new.items() if name not in columns])
