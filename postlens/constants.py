@@ -64,7 +64,6 @@ SUMMARY_MIN_WORDS = 30
 KEY_POINT_LIMIT = 5
 OCR_MIN_CONFIDENCE = 60
 PREVIEW_CHARS = 50
-EPISODE_MAX_STEPS = 50
 RISK_RED = 0.7
 RISK_ORANGE = 0.3
 ENTRY_BELOW_YEARS = 2

@@ -61,14 +61,15 @@ def zscore(df: DataFrame, columns: Sequence[str], suffix: str = "_z") -> DataFra
     return out.drop("_stats")
 
 
-def _enough(df: DataFrame, k: int) -> bool:
-    return df.limit(k).count() >= k
+def _enough(df: DataFrame, features: Sequence[str], k: int) -> bool:
+    """Whether there are ``k`` complete rows to fit on."""
+    return df.select(*features).na.drop().limit(k).count() >= k
 
 
 def kmeans_levels(df: DataFrame, features: Sequence[str] = ("salary", "experience"), k: int = 3, seed: int = 42,
                   names: Sequence[str] = LEVELS_ENTRY) -> DataFrame:
-    """Adds ``level_cluster`` and ``job_level``; below k rows the level is unknown."""
-    if not _enough(df, k):
+    """Adds ``level_cluster`` and ``job_level``; below k complete rows the level is unknown."""
+    if not _enough(df, features, k):
         return df.withColumns({"level_cluster": F.lit(None).cast("int"), "job_level": F.lit("unknown")})
     assigned = assign_centres(df, features, fit_centres(df, features, k, seed))
     return assigned.withColumn("job_level", level_names(F.col("level_cluster"), names))
@@ -76,8 +77,8 @@ def kmeans_levels(df: DataFrame, features: Sequence[str] = ("salary", "experienc
 
 def kmeans_levels_scaled(df: DataFrame, features: Sequence[str] = ("salary", "experience"), k: int = 3,
                          seed: int = 42, names: Sequence[str] = LEVELS_ENTRY) -> DataFrame:
-    """The same on standard scores; below k rows the columns are null."""
-    if not _enough(df, k):
+    """The same on standard scores; below k complete rows the columns are null."""
+    if not _enough(df, features, k):
         return df.withColumns({"level_cluster": F.lit(None).cast("int"), "job_level": F.lit(None).cast("string")})
     scaled = zscore(df, features)
     axes = [f"{c}_z" for c in features]
@@ -89,8 +90,11 @@ def cluster_writeback(df: DataFrame, features: Sequence[str], names: Sequence[st
                       centres: Sequence[Sequence[float]] | None = None, k: int = 3, seed: int = 42) -> DataFrame:
     """Level of complete rows; rows lacking a feature keep null, all rows stay.
 
-    The assignment depends on the row alone, so no join back is needed.
+    The assignment depends on the row alone, so no join back is needed. Below k
+    complete rows every level is null.
     """
+    if centres is None and not _enough(df, features, k):
+        return df.withColumns({"level": F.lit(None).cast("int"), "level_name": F.lit(None).cast("string")})
     centres = centres or fit_centres(df, features, k, seed)
     assigned = assign_centres(df, features, centres, "level")
     return assigned.withColumn("level_name", level_names(F.col("level"), names))
@@ -107,7 +111,9 @@ def cluster_ranges(df: DataFrame, cluster: str, value: str) -> DataFrame:
 
 
 def salary_bands(df: DataFrame, salary: str = "salary", k: int = 3, seed: int = 0) -> DataFrame:
-    """Adds ``salary_band`` (0 is the lowest) and ``salary_range``."""
+    """Adds ``salary_band`` (0 is the lowest) and ``salary_range``; null below k rows with a salary."""
+    if not _enough(df, [salary], k):
+        return df.withColumns({"salary_band": F.lit(None).cast("string"), "salary_range": F.lit(None).cast("string")})
     banded = assign_centres(df, [salary], fit_centres(df, [salary], k, seed), "_band")
     named = cluster_ranges(banded, "_band", salary)
     return named.withColumn("salary_band", F.concat(F.lit("Band "), F.col("_band"))).select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postlens.operators.scaling import running_totals, small_side
 from postlens.session import written
@@ -52,20 +52,22 @@ def quality_block(current: DataFrame, reference: DataFrame, columns: Sequence[st
     )
 
 
-def collapsed_values(df: DataFrame, columns: Sequence[str], **sides: Column) -> DataFrame:
+def collapsed_values(df: DataFrame, columns: Sequence[str], kind: str = "double", **sides: Column) -> DataFrame:
     """Distinct ``(column, value)`` with a row count, or one count per named side.
 
+    ``kind`` is the type in which values are told apart: wide enough for the columns.
+
     A value however frequent becomes one row before the shuffle ends. The table is
     written once, since ordered statistics read it several times.
     """
     measures = sides or {"n": F.lit(1)}
     keep = df.select(
-        *[F.col(c).cast("double").alias(c) for c in columns],
-        *[m.cast("bigint").alias(name) for name, m in measures.items()],
+        *[F.col(c).cast(kind).alias(c) for c in columns],
+        *[m.cast("bigint").alias(f"_m_{name}") for name, m in measures.items()],
     )
-    long = keep.unpivot(list(measures), list(columns), "column", "value")
+    long = keep.unpivot([f"_m_{name}" for name in measures], list(columns), "column", "value")
     counted = long.where(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        *[F.sum(name).alias(name) for name in measures]
+        *[F.sum(f"_m_{name}").alias(name) for name in measures]
     )
     return written(counted, "values")
 
@@ -88,31 +90,64 @@ def exact_quantiles(values: DataFrame, probabilities: Sequence[float]) -> DataFr
     )
     # both order statistics lie in one value or in two neighbouring ones
     return near.groupBy("column", "p", "h").agg(
-        F.min("value").alias("a"), F.max("value").alias("b")
+        F.min("value").cast("double").alias("a"), F.max("value").cast("double").alias("b")
     ).select("column", "p", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("h") - F.floor("h"))).alias("quantile"))
 
 
+PROFILE = ["count", "missing", "distinct", "mean", "std", "min", "max", "most_common", "q25", "q50", "q75"]
+EXACT = "decimal(38,0)"  # holds every integer type
+
+
+def _profile_kind(df: DataFrame, column: str) -> str:
+    kind = df.schema[column].dataType
+    if isinstance(kind, T.IntegralType):
+        return EXACT
+    return "double" if isinstance(kind, T.NumericType) else "string"
+
+
 def quality_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, missing, distinct, mean, spread, quartiles and most common value."""
-    columns = list(columns)
+    """Count, missing, distinct, mean, spread, range, quartiles and most common value of any columns.
+
+    Values are told apart in their own type: integers exactly, other numbers as
+    doubles, everything else as text. Range and most common value are given as text
+    where any column is not numeric, as doubles otherwise; moments and quartiles of
+    other columns are null. The smallest of equally common values is named.
+    """
+    groups: dict[str, list[str]] = {}
+    for c in columns:
+        groups.setdefault(_profile_kind(df, c), []).append(c)
+    shown = "string" if "string" in groups else "double"
+    parts = [_profile_of(df, own, kind, shown) for kind, own in groups.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def _profile_of(df: DataFrame, columns: Sequence[str], kind: str, shown: str) -> DataFrame:
+    numeric = kind != "string"
+    number = lambda c: F.col(c).cast("double") if numeric else F.lit(None).cast("double")
     stats = df.agg(*[
         F.struct(
             F.count(c).alias("count"), F.count_if(F.col(c).isNull()).alias("missing"),
-            F.avg(F.col(c).cast("double")).alias("mean"),
-            F.stddev_samp(F.col(c).cast("double")).alias("std"),
+            F.avg(number(c)).alias("mean"), F.stddev_samp(number(c)).alias("std"),
         ).alias(c)
         for c in columns
-    ]).unpivot([], columns, "column", "s").select("column", "s.*")
-    values = collapsed_values(df, columns)
-    shape = values.groupBy("column").agg(
-        F.count("*").alias("distinct"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.max(F.struct("n", (-F.col("value")).alias("v"))).alias("_top"),
-    ).select("column", "distinct", "min", "max", (-F.col("_top.v")).alias("most_common"))
-    quartiles = exact_quantiles(values, [0.25, 0.5, 0.75]).groupBy("column").agg(*[
-        F.max(F.when(F.col("p") == p, F.col("quantile"))).alias(name)
-        for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
-    ])
-    return stats.join(shape, "column", "left").join(quartiles, "column", "left")
+    ]).unpivot([], list(columns), "column", "s").select("column", "s.*")
+    values = collapsed_values(df, columns, kind)
+    shape = values.groupBy("column").agg(F.count("*").alias("distinct"), F.min("value").alias("min"), F.max("value").alias("max"), F.max("n").alias("_n"))
+    common = values.join(F.broadcast(shape.select("column", "_n")), "column").where(F.col("n") == F.col("_n")).groupBy("column").agg(
+        F.min("value").alias("most_common"))
+    out = stats.join(shape.drop("_n"), "column", "left").join(common, "column", "left")
+    if numeric:
+        quartiles = exact_quantiles(values, [0.25, 0.5, 0.75]).groupBy("column").agg(*[
+            F.max(F.when(F.col("p") == p, F.col("quantile").cast("double"))).alias(name)
+            for name, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75))
+        ])
+        out = out.join(quartiles, "column", "left")
+    else:
+        out = out.withColumns({q: F.lit(None).cast("double") for q in ("q25", "q50", "q75")})
+    return out.withColumns({c: F.col(c).cast(shown) for c in ("min", "max", "most_common")}).select("column", *PROFILE)
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:

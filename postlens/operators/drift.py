@@ -1,7 +1,10 @@
 """Drift between a reference and a current table, column by column.
 
-All statistics start from the same collapsed table: one row per distinct
-``(column, value)`` with its count on either side.
+All statistics start from a collapsed table: one row per distinct ``(column, value)``
+with its count on either side. Numeric columns hold numbers there, categorical ones
+text. A column's kind follows from its type or from an argument, never from its
+values, and so does the choice between tests and distances. A side without values
+gives null scores, which count as no drift.
 """
 
 from __future__ import annotations
@@ -20,13 +23,13 @@ from postlens.operators.scaling import running_totals
 from postlens.schemas import DRIFT_COLUMNS
 from postlens.session import written
 
-# fixed values: the default decision rule of the monitoring report
-SMALL_REFERENCE_ROWS = 1000
-FEW_VALUES = 5
+# fixed values: the limits of the monitoring report
 P_VALUE_LIMIT = 0.05
 DISTANCE_LIMIT = 0.1
 LEAST_DEVIATION = 0.001
-KS_TERMS = 20
+# both forms of the Kolmogorov series reach double precision with this many terms on their side
+KS_BORDER = 1.0
+KS_TERMS = 5
 
 
 def drift_features(df: DataFrame, text: str = "text", codes: DataFrame | None = None,
@@ -55,17 +58,31 @@ def shared_codes(reference: DataFrame, current: DataFrame) -> DataFrame:
     return code_table([reference, current], "category")
 
 
-def two_sided(reference: DataFrame, current: DataFrame, columns: Sequence[str]) -> DataFrame:
+def is_numeric(df: DataFrame, column: str) -> bool:
+    return isinstance(df.schema[column].dataType, T.NumericType)
+
+
+def kinds_of(df: DataFrame, columns: Sequence[str], categorical: Sequence[str] = ()) -> tuple[list[str], list[str]]:
+    """``columns`` as numeric and categorical ones: by type, or named in ``categorical``."""
+    numeric = [c for c in columns if c not in categorical and is_numeric(df, c)]
+    return numeric, [c for c in columns if c not in numeric]
+
+
+def two_sided(reference: DataFrame, current: DataFrame, columns: Sequence[str], as_text: bool = False) -> DataFrame:
     """``(column, value, n_ref, n_cur)``; columns missing on one side are left out."""
     both = [c for c in columns if c in reference.columns and c in current.columns]
-    sides = reference.select(*both, F.lit(1).alias("_r")).unionByName(current.select(*both, F.lit(0).alias("_r")))
-    return collapsed_values(sides, both, n_ref=F.col("_r"), n_cur=1 - F.col("_r"))
+    kind = "string" if as_text else "double"
+    chosen = lambda df: [F.col(c).cast(kind).alias(c) for c in both]
+    sides = reference.select(*chosen(reference), F.lit(1).alias("_r")).unionByName(
+        current.select(*chosen(current), F.lit(0).alias("_r")))
+    return collapsed_values(sides, both, kind, n_ref=F.col("_r"), n_cur=1 - F.col("_r"))
 
 
-def two_sided_by(df: DataFrame, columns: Sequence[str], is_reference: Column) -> DataFrame:
+def two_sided_by(df: DataFrame, columns: Sequence[str], is_reference: Column, as_text: bool = False) -> DataFrame:
     """The same from one table split by a condition, in one scan."""
     return collapsed_values(
-        df, columns, n_ref=is_reference.cast("int"), n_cur=(~is_reference).cast("int")
+        df, columns, "string" if as_text else "double",
+        n_ref=is_reference.cast("int"), n_cur=(~is_reference).cast("int")
     )
 
 
@@ -82,25 +99,49 @@ def _distribution_gap(values: DataFrame, sizes: DataFrame) -> DataFrame:
     running = running_totals(
         values, "value", {"upto_ref": F.col("n_ref"), "upto_cur": F.col("n_cur")}, ["column"], following="next_value"
     )
-    gap = F.abs(F.col("upto_ref") / F.col("ref_rows") - F.col("upto_cur") / F.col("cur_rows"))
+    gap = F.abs(F.try_divide("upto_ref", "ref_rows") - F.try_divide("upto_cur", "cur_rows"))
     return running.join(sizes, "column").withColumn("gap", gap)
 
 
-def ks_p_value(statistic: Column, n: Column, m: Column, terms: int = KS_TERMS) -> Column:
-    """Asymptotic two-sample p-value; 1 for a statistic of 0."""
+def ks_p_value(statistic: Column, n: Column, m: Column) -> Column:
+    """Asymptotic two-sample p-value; 1 for a statistic of 0.
+
+    The alternating series hardly converges for small arguments, so below the border
+    its dual form (by the theta function's symmetry) is summed.
+    """
     lam2 = statistic * statistic * n * m / (n + m)
-    series = F.lit(0.0)
-    for j in range(1, terms + 1):
-        series = series + F.lit(float((-1) ** (j - 1))) * F.exp(F.lit(-2.0 * j * j) * lam2)
-    return F.when(statistic == 0, F.lit(1.0)).otherwise(F.least(F.greatest(2 * series, F.lit(0.0)), F.lit(1.0)))
+    lam = F.sqrt(lam2)
+    tail, body = F.lit(0.0), F.lit(0.0)
+    for j in range(1, KS_TERMS + 1):
+        tail = tail + F.lit(2.0 * (-1) ** (j - 1)) * F.exp(F.lit(-2.0 * j * j) * lam2)
+        body = body + F.exp(F.try_divide(F.lit(-((2 * j - 1) ** 2) * math.pi**2 / 8), lam2))
+    dual = 1 - F.try_divide(F.lit(math.sqrt(2 * math.pi)) * body, lam)
+    p = F.when(lam < KS_BORDER, dual).otherwise(tail)
+    return F.when(statistic == 0, F.lit(1.0)).when(statistic.isNotNull(), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)))
+
+
+def gap_statistics(values: DataFrame) -> DataFrame:
+    """``(column, ref_rows, cur_rows, statistic, area)``: largest gap and area in one pass.
+
+    Both are null for a column that has no values on one side.
+    """
+    gaps = _distribution_gap(values, side_sizes(values))
+    area = F.sum(F.col("gap") * (F.col("next_value") - F.col("value")))
+    both = (F.col("ref_rows") > 0) & (F.col("cur_rows") > 0)
+    return gaps.groupBy("column", "ref_rows", "cur_rows").agg(F.max("gap").alias("_g"), area.alias("_a")).select(
+        "column", "ref_rows", "cur_rows", F.when(both, F.col("_g")).alias("statistic"),
+        F.when(both, F.coalesce("_a", F.lit(0.0))).alias("area"),
+    )
+
+
+def _with_p(gaps: DataFrame) -> Column:
+    return ks_p_value(F.col("statistic"), F.col("ref_rows").cast("double"), F.col("cur_rows").cast("double"))
 
 
 def ks(values: DataFrame) -> DataFrame:
     """``(column, statistic, p_value)`` of the two-sample test."""
-    sizes = side_sizes(values)
-    top = _distribution_gap(values, sizes).groupBy("column", "ref_rows", "cur_rows").agg(F.max("gap").alias("statistic"))
-    p = ks_p_value(F.col("statistic"), F.col("ref_rows").cast("double"), F.col("cur_rows").cast("double"))
-    return top.select("column", "statistic", p.alias("p_value"))
+    gaps = gap_statistics(values)
+    return gaps.select("column", "statistic", _with_p(gaps).alias("p_value"))
 
 
 def wasserstein(values: DataFrame, deviations: DataFrame) -> DataFrame:
@@ -108,10 +149,8 @@ def wasserstein(values: DataFrame, deviations: DataFrame) -> DataFrame:
 
     ``deviations`` holds ``(column, deviation)`` of the reference.
     """
-    gaps = _distribution_gap(values, side_sizes(values))
-    area = F.sum(F.col("gap") * (F.col("next_value") - F.col("value")))
-    return gaps.groupBy("column").agg(F.coalesce(area, F.lit(0.0)).alias("_area")).join(F.broadcast(deviations), "column").select(
-        "column", (F.col("_area") / F.greatest("deviation", F.lit(LEAST_DEVIATION))).alias("distance")
+    return gap_statistics(values).join(F.broadcast(deviations), "column").select(
+        "column", (F.col("area") / F.greatest("deviation", F.lit(LEAST_DEVIATION))).alias("distance")
     )
 
 
@@ -120,17 +159,18 @@ def reference_deviations(values: DataFrame) -> DataFrame:
 
     Two passes over the collapsed counts keep it exact where the mean is large.
     """
-    means = values.groupBy("column").agg((F.sum(F.col("n_ref") * F.col("value")) / F.sum("n_ref")).alias("_mean"))
+    means = values.groupBy("column").agg(
+        F.try_divide(F.sum(F.col("n_ref") * F.col("value")), F.sum("n_ref")).alias("_mean"))
     d = F.col("value") - F.col("_mean")
     return values.join(F.broadcast(means), "column").groupBy("column").agg(
-        F.sqrt(F.sum(F.col("n_ref") * d * d) / F.sum("n_ref")).alias("deviation")
+        F.sqrt(F.try_divide(F.sum(F.col("n_ref") * d * d), F.sum("n_ref"))).alias("deviation")
     )
 
 
 def chi_square(values: DataFrame) -> DataFrame:
     """``(column, statistic, dof)`` of current counts against reference shares."""
     sizes = side_sizes(values)
-    expected = F.col("cur_rows") * F.col("n_ref") / F.col("ref_rows")
+    expected = F.try_divide(F.col("cur_rows") * F.col("n_ref"), F.col("ref_rows"))
     part = F.when(expected > 0, (F.col("n_cur") - expected) * (F.col("n_cur") - expected) / expected)
     return values.join(sizes, "column").groupBy("column").agg(
         F.sum(part).alias("statistic"), (F.count("*") - 1).alias("dof")
@@ -139,10 +179,11 @@ def chi_square(values: DataFrame) -> DataFrame:
 
 def jensen_shannon(values: DataFrame) -> DataFrame:
     """``(column, distance)``: root of the divergence, natural logarithm."""
-    p, q = F.col("n_ref") / F.col("ref_rows"), F.col("n_cur") / F.col("cur_rows")
+    p, q = F.try_divide("n_ref", "ref_rows"), F.try_divide("n_cur", "cur_rows")
+    known = (F.col("ref_rows") > 0) & (F.col("cur_rows") > 0)
     half = lambda x: F.when(x > 0, x * F.log(2 * x / (p + q))).otherwise(F.lit(0.0))
     return values.join(side_sizes(values), "column").groupBy("column").agg(
-        F.sqrt(F.greatest((F.sum(half(p)) + F.sum(half(q))) / 2, F.lit(0.0))).alias("distance")
+        F.when(F.bool_and(known), F.sqrt(F.greatest((F.sum(half(p)) + F.sum(half(q))) / 2, F.lit(0.0)))).alias("distance")
     )
 
 
@@ -193,52 +234,45 @@ def proportion_test(values: DataFrame) -> DataFrame:
     """``(column, z)`` for columns of two values: difference of the higher value's share."""
     sizes = side_sizes(values)
     top = values.groupBy("column").agg(F.max(F.struct("value", "n_ref", "n_cur")).alias("t")).join(sizes, "column")
-    p1, p2 = F.col("t.n_ref") / F.col("ref_rows"), F.col("t.n_cur") / F.col("cur_rows")
-    pooled = (F.col("t.n_ref") + F.col("t.n_cur")) / (F.col("ref_rows") + F.col("cur_rows"))
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / F.col("ref_rows") + 1 / F.col("cur_rows")))
-    return top.select("column", F.coalesce(F.try_divide(p1 - p2, spread), F.lit(0.0)).alias("z"))
-
-
-def column_drift(values: DataFrame, method: str = "auto", p_limit: float = P_VALUE_LIMIT,
-                 distance_limit: float = DISTANCE_LIMIT) -> DataFrame:
-    """``(column, method, score, drifted)``.
-
-    ``auto`` tests small references (p-value below the limit) and measures a distance
-    on large ones (at or above the limit); columns of few distinct values are treated
-    as categories. ``distance`` measures whatever the size.
+    p1, p2 = F.try_divide("t.n_ref", "ref_rows"), F.try_divide("t.n_cur", "cur_rows")
+    pooled = F.try_divide(F.col("t.n_ref") + F.col("t.n_cur"), F.col("ref_rows") + F.col("cur_rows"))
+    one = F.lit(1.0)
+    spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(one, F.col("ref_rows")) + F.try_divide(one, F.col("cur_rows"))))
+    return top.where("all_values <= 2").select(
+        "column", F.when(spread == 0, F.lit(0.0)).otherwise(F.try_divide(p1 - p2, spread)).alias("z"))
+
+
+def column_drift(numeric: DataFrame | None, categories: DataFrame | None = None, method: str = "distance",
+                 p_limit: float = P_VALUE_LIMIT, distance_limit: float = DISTANCE_LIMIT) -> DataFrame:
+    """``(column, method, score, drifted)`` of collapsed numeric and categorical columns.
+
+    ``distance``: Wasserstein for numbers, Jensen-Shannon for categories, drifted at or
+    above the limit. ``test``: Kolmogorov-Smirnov for numbers; for categories the
+    chi-square test, or the two-proportion test where there are two values at most;
+    drifted below the limit. Null scores count as no drift.
     """
-    if method not in ("auto", "distance"):
+    if method not in ("test", "distance"):
         raise ValueError(f"unknown method {method!r}")
-    sizes = side_sizes(values).select("column", "ref_rows", "ref_values", "all_values")
-    few = F.col("ref_values") <= FEW_VALUES
-    scored = (
-        sizes.join(wasserstein(values, reference_deviations(values)).withColumnRenamed("distance", "_w"), "column", "left")
-        .join(jensen_shannon(values).withColumnRenamed("distance", "_j"), "column", "left")
-    )
-    by_distance = F.when(few, F.col("_j")).otherwise(F.col("_w"))
-    name_distance = F.when(few, "jensen_shannon").otherwise("wasserstein")
-    if method == "distance":
-        return scored.select(
-            "column", name_distance.alias("method"), by_distance.alias("score"),
-            (by_distance >= distance_limit).alias("drifted"),
-        )
-    tested = (
-        scored.join(ks(values).select("column", F.col("p_value").alias("_ks")), "column", "left")
-        .join(chi_square(values).select("column", F.col("statistic").alias("_x"), "dof"), "column", "left")
-        .join(proportion_test(values), "column", "left")
-        .withColumn("_chi", chi_square_p("_x", "dof"))
-        .withColumn("_z", normal_p("z"))
-    )
-    small = F.col("ref_rows") <= SMALL_REFERENCE_ROWS
-    binary = F.col("all_values") <= 2
-    p = F.when(binary, F.col("_z")).when(few, F.col("_chi")).otherwise(F.col("_ks"))
-    name_test = F.when(binary, "z_test").when(few, "chi_square").otherwise("ks")
-    return tested.select(
-        "column",
-        F.when(small, name_test).otherwise(name_distance).alias("method"),
-        F.when(small, p).otherwise(by_distance).alias("score"),
-        F.when(small, p < p_limit).otherwise(by_distance >= distance_limit).alias("drifted"),
-    )
+    parts = []
+    if numeric is not None:
+        gaps = gap_statistics(numeric)
+        if method == "test":
+            parts.append(gaps.select("column", F.lit("ks").alias("method"), _with_p(gaps).alias("score")))
+        else:
+            parts.append(gaps.join(F.broadcast(reference_deviations(numeric)), "column").select(
+                "column", F.lit("wasserstein").alias("method"),
+                (F.col("area") / F.greatest("deviation", F.lit(LEAST_DEVIATION))).alias("score")))
+    if categories is not None and method == "test":
+        found = chi_square(categories).join(proportion_test(categories), "column", "left")
+        few = F.col("z").isNotNull() | (F.col("dof") <= 1)
+        parts.append(found.select(
+            "column", F.when(few, "z_test").otherwise("chi_square").alias("method"),
+            F.when(few, normal_p("z")).otherwise(chi_square_p("statistic", "dof")).alias("score")))
+    elif categories is not None:
+        parts.append(jensen_shannon(categories).select("column", F.lit("jensen_shannon").alias("method"), F.col("distance").alias("score")))
+    scored = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    drifted = F.col("score") < p_limit if method == "test" else F.col("score") >= distance_limit
+    return scored.withColumn("drifted", F.coalesce(drifted, F.lit(False)))
 
 
 def dataset_drift(drift: DataFrame, share: float = DRIFT_SHARE) -> DataFrame:
@@ -249,8 +283,17 @@ def dataset_drift(drift: DataFrame, share: float = DRIFT_SHARE) -> DataFrame:
     ).withColumn("dataset_drift", F.col("drift_share") >= share)
 
 
-def drift_summary(current: DataFrame, reference: DataFrame | None = None,
-                  columns: Sequence[str] = DRIFT_COLUMNS, method: str = "auto") -> DataFrame:
+def drift_between(reference: DataFrame, current: DataFrame, columns: Sequence[str],
+                  categorical: Sequence[str] = (), method: str = "distance") -> DataFrame:
+    """Drift of columns of any type; numbers named in ``categorical`` are categories."""
+    numeric, named = kinds_of(current, columns, categorical)
+    return column_drift(
+        two_sided(reference, current, numeric) if numeric else None,
+        two_sided(reference, current, named, as_text=True) if named else None, method)
+
+
+def drift_summary(current: DataFrame, reference: DataFrame | None = None, columns: Sequence[str] = DRIFT_COLUMNS,
+                  method: str = "distance", categorical: Sequence[str] = ()) -> DataFrame:
     """One row per column: drift, score (drifted columns only) and data quality.
 
     Without a reference the current table is compared with itself: no drift.
@@ -259,7 +302,7 @@ def drift_summary(current: DataFrame, reference: DataFrame | None = None,
     columns = [c for c in columns if c in current.columns and (reference is None or c in reference.columns)]
     current = written(current.select(*columns), "features")
     reference = current if reference is None else written(reference.select(*columns), "features")
-    drift = column_drift(two_sided(reference, current, columns), method)
+    drift = written(drift_between(reference, current, columns, categorical, method), "drift")
     flag = dataset_drift(drift).select("dataset_drift")
     quality = quality_block(current, reference, columns)
     return quality.join(drift, "column", "left").select(
@@ -333,8 +376,10 @@ def load_reference(spark, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_drift_report(summary: DataFrame, base: str, name: str | None = None) -> str:
-    """The summary as a JSON folder with a given or time-stamped name."""
+def write_drift_report(summary: DataFrame, base: str, name: str | None = None, quality: DataFrame | None = None) -> str:
+    """The summary, with the quality profile of each column where given, as a JSON folder."""
     from postlens.sinks.stores import stamp, write_json
 
-    return write_json(summary, f"{base.rstrip('/')}/{name or 'drift_report_' + stamp()}")
+    whole = summary if quality is None else summary.join(
+        quality.select("column", F.struct(*[c for c in quality.columns if c != "column"]).alias("profile")), "column", "left")
+    return write_json(whole, f"{base.rstrip('/')}/{name or 'drift_report_' + stamp()}")

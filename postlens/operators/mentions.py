@@ -41,13 +41,33 @@ def phrase_rows(df: DataFrame, keys: list[str], text: str, longest: int) -> Data
     return out
 
 
-def gazetteer_hits(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int = 1) -> DataFrame:
+KINDS = ("GPE", "ORG")
+
+
+def names_of(gazetteer: DataFrame) -> DataFrame:
+    """Distinct ``(phrase, kind)`` of places and organisations, their words parted by one blank.
+
+    Rows of other kinds, and names without a word, take no part in either plan.
+    """
+    words = F.regexp_extract_all(F.col("phrase"), F.lit(f"({WORD_RUN})"), 1)
+    named = gazetteer.where(F.col("kind").isin(*KINDS)).select(F.array_join(words, " ").alias("phrase"), "kind")
+    return named.where(F.col("phrase") != "").distinct()
+
+
+def longest_name(names: DataFrame) -> int:
+    """Words in the longest name; one row of one aggregate."""
+    return names.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(1)).alias("n")).first()["n"]
+
+
+def gazetteer_hits(df: DataFrame, keys: list[str], text: str, gazetteer: DataFrame, longest: int | None = None) -> DataFrame:
     """``(keys, pos, phrase, kind)``: phrases listed in ``gazetteer(phrase, kind)``.
 
-    The list is broadcast only when counted small; otherwise the phrases are joined
-    by shuffle, where AQE splits frequent phrases.
+    ``longest`` is the most words a phrase may have, by default those of the longest
+    name. The list is broadcast only when counted small; otherwise the phrases are
+    joined by shuffle, where AQE splits frequent phrases.
     """
-    listed = gazetteer.select("phrase", "kind").distinct()
+    listed = names_of(gazetteer)
+    longest = longest_name(listed) if longest is None else longest
     return phrase_rows(df, keys, text, longest).join(broadcast_if_small(listed), "phrase")
 
 
@@ -56,16 +76,17 @@ def listed_phrases(gazetteer: DataFrame, limit: int = LISTED_PHRASES) -> dict[st
 
     At most ``limit + 1`` rows are fetched to find out.
     """
-    rows = gazetteer.select("phrase", "kind").distinct().limit(limit + 1).collect()
+    rows = names_of(gazetteer).limit(limit + 1).collect()
     if len(rows) > limit:
         return None
-    return {kind: sorted(r.phrase for r in rows if r.kind == kind) for kind in ("GPE", "ORG")}
+    return {kind: sorted(r.phrase for r in rows if r.kind == kind) for kind in KINDS}
 
 
-def listed_in_text(text: Column, phrases: Sequence[str], longest: int = 1) -> Column:
+def listed_in_text(text: Column, phrases: Sequence[str], longest: int | None = None) -> Column:
     """Listed phrases of a text in reading order, tested by a hash set in place."""
     if not phrases:
         return no_strings()
+    longest = max(p.count(" ") + 1 for p in phrases) if longest is None else longest
     found = F.regexp_extract_all(text, F.lit(f"({WORD_RUN})"), 1)
 
     def runs(words: Column) -> Column:
@@ -85,7 +106,7 @@ def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
-def entities(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text", longest: int = 1,
+def entities(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text", longest: int | None = None,
              limit: int = LISTED_PHRASES) -> DataFrame:
     """``(key, locations, organizations, dates, money)`` in reading order.
 
@@ -113,7 +134,7 @@ def entities(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text",
     )
 
 
-def named_sentences(text: Column, phrases: Sequence[str], limit: int = KEY_POINT_LIMIT, longest: int = 1) -> Column:
+def named_sentences(text: Column, phrases: Sequence[str], limit: int = KEY_POINT_LIMIT, longest: int | None = None) -> Column:
     """The first sentences that hold a listed phrase, a date or an amount."""
     def names(sentence: Column) -> Column:
         by_pattern = sentence.rlike(f"{DATE}|{MONEY}")
@@ -123,7 +144,7 @@ def named_sentences(text: Column, phrases: Sequence[str], limit: int = KEY_POINT
 
 
 def key_points(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text",
-               limit: int = KEY_POINT_LIMIT, longest: int = 1, phrase_limit: int = LISTED_PHRASES) -> DataFrame:
+               limit: int = KEY_POINT_LIMIT, longest: int | None = None, phrase_limit: int = LISTED_PHRASES) -> DataFrame:
     """``(key, rank, sentence)``: the first sentences that name an entity."""
     listed = listed_phrases(gazetteer, phrase_limit)
     if listed is not None:

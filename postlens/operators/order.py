@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from postlens.constants import EPISODE_MAX_STEPS, STUB_CONFIDENCE, TRADE_LABELS
+from postlens.constants import STUB_CONFIDENCE, TRADE_LABELS
 from postlens.operators.scaling import first_per_group, fits, small_side, with_position
 from postlens.session import written
 
@@ -67,16 +67,19 @@ def stratified_split(df: DataFrame, key: str, label: str, share: float = 0.2, se
 
 
 def episode_rollup(log: DataFrame, episode: str, order: Sequence[str], reward: str, success: str,
-                   extracted: str, max_steps: int = EPISODE_MAX_STEPS) -> DataFrame:
+                   extracted: str, max_steps: int | None = None) -> DataFrame:
     """Reward, steps and extractions per episode, up to its first success.
 
-    ``success`` and ``extracted`` are boolean columns. Only the first ``max_steps``
-    rows of an episode count.
+    ``success`` and ``extracted`` are boolean columns; ``order`` is unique within an
+    episode. All rows of an episode count unless ``max_steps`` states a limit. The
+    first successes are one aggregate and the sums another, so an episode of any
+    length is combined before the shuffle.
     """
-    steps = first_per_group(log, episode, order, max_steps)
-    before = Window.partitionBy(episode).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    done = F.coalesce(F.max(F.col(success).cast("int")).over(before), F.lit(0))
-    return steps.withColumn("_done", done).where("_done = 0").groupBy(episode).agg(
+    steps = log if max_steps is None else first_per_group(log, episode, order, max_steps)
+    steps = steps.withColumn("_at", F.struct(*order))
+    first = steps.where(F.col(success)).groupBy(episode).agg(F.min("_at").alias("_first"))
+    upto = F.col("_first").isNull() | (F.col("_at") <= F.col("_first"))
+    return steps.join(first, episode, "left").where(upto).groupBy(episode).agg(
         F.sum(reward).alias("total_reward"), F.count("*").alias("steps"),
         F.count_if(F.col(extracted)).alias("extracted"), F.max(success).alias("succeeded"),
     )

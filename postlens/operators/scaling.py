@@ -42,8 +42,8 @@ def unrolled(df: DataFrame, keys: Sequence[str], array: Column, place: str, name
 
 
 def split_count(df: DataFrame) -> int:
-    """How many ordered ranges to cut: follows the shuffle width of the session."""
-    return min(1024, max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    """How many ordered ranges to cut: the shuffle width of the session, without an upper bound."""
+    return max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def _range_of(df: DataFrame, key: Column, measures: Sequence[str]) -> DataFrame:

@@ -44,11 +44,12 @@ def zero_shot_top(texts: DataFrame, labels: DataFrame, key: str, label: str) ->
     """``(key, label, confidence, shared)``: softmax over all labels, best one kept.
 
     A label that shares no term has cosine 0, hence weight exp(0) = 1; those labels
-    enter the denominator by their number, so pairs are never spelled out.
+    enter the denominator by their number. Only sharing pairs are rows; ties go to the
+    smallest label, which may be of any ordered type.
     """
     pairs = label_similarity(texts, labels, key, label)
     best = pairs.groupBy(key).agg(
-        F.max(F.struct("cosine", (-F.col(label)).alias("l"))).alias("_b"),
+        F.min(F.struct((-F.col("cosine")).alias("c"), F.col(label).alias("l"))).alias("_b"),
         F.sum(F.exp("cosine")).alias("_z"), F.count("*").alias("shared"),
     )
     whole = labels.agg(F.count("*").alias("n")).scalar()
@@ -56,8 +57,8 @@ def zero_shot_top(texts: DataFrame, labels: DataFrame, key: str, label: str) ->
     shared = F.coalesce("shared", F.lit(0))
     total = F.coalesce("_z", F.lit(0.0)) + (whole - shared)
     return texts.select(key).join(best, key, "left").select(
-        key, F.coalesce(-F.col("_b.l"), first).alias(label),
-        (F.exp(F.coalesce("_b.cosine", F.lit(0.0))) / total).alias("confidence"), shared.alias("shared"),
+        key, F.coalesce("_b.l", first).alias(label),
+        (F.exp(F.coalesce(-F.col("_b.c"), F.lit(0.0))) / total).alias("confidence"), shared.alias("shared"),
     )
 
 

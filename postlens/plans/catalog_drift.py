@@ -15,6 +15,7 @@ R = Registry()
 # The first half of the month is the reference, the rest the current table
 SPLIT = "TIMESTAMP '2024-01-16 00:00:00'"
 EVENT_COLUMNS = ["value", "user_id", "event_code"]
+EVENT_NUMBERS = ["value", "user_id"]
 
 
 def event_frame(spark, d):
@@ -34,8 +35,9 @@ SQL_EVENT_LONG = " UNION ALL ".join(
 )
 
 
-def sql_statistics(long: str) -> str:
+def sql_statistics(long: str, categorical: tuple[str, ...] = ("event_code", "category_encoded")) -> str:
     """CTEs from long(column, value, is_ref): values, gaps and one row of statistics per column."""
+    named = ", ".join(f"'{c}'" for c in categorical)
     return f"""
 long AS ({long}),
 vals AS (SELECT "column", value, count(*) FILTER (WHERE is_ref) AS n_ref, count(*) FILTER (WHERE NOT is_ref) AS n_cur
@@ -54,19 +56,23 @@ chi AS (SELECT "column", sum(CASE WHEN n_ref > 0 THEN (n_cur - nc * n_ref / nr)
 js AS (SELECT "column", sqrt(greatest((sum(CASE WHEN n_ref > 0 THEN n_ref / nr * ln(2 * (n_ref / nr) / (n_ref / nr + n_cur / nc)) ELSE 0 END)
                      + sum(CASE WHEN n_cur > 0 THEN n_cur / nc * ln(2 * (n_cur / nc) / (n_ref / nr + n_cur / nc)) ELSE 0 END)) / 2, 0)) AS distance
        FROM vals JOIN sizes USING ("column") GROUP BY "column"),
-scores AS (SELECT "column", CASE WHEN k_ref <= 5 THEN 'jensen_shannon' ELSE 'wasserstein' END AS method,
-                  CASE WHEN k_ref <= 5 THEN js.distance ELSE ws.distance END AS score
+scores AS (SELECT "column", CASE WHEN "column" IN ({named}) THEN 'jensen_shannon' ELSE 'wasserstein' END AS method,
+                  CASE WHEN "column" IN ({named}) THEN js.distance ELSE ws.distance END AS score
            FROM sizes JOIN js USING ("column") JOIN ws USING ("column"))"""
 
 
 SQL_EVENT_STATS = sql_statistics(SQL_EVENT_LONG)
-SQL_KS_TERMS = " + ".join(f"{(-1.0) ** (j - 1)} * exp({-2.0 * j * j} * lam2)" for j in range(1, drift.KS_TERMS + 1))
+# the alternating series with so many terms that it converges for any sample here
+SQL_KS_P = """CASE WHEN statistic = 0 THEN 1.0 ELSE least(greatest(
+  2 * list_sum([(CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * j * j * lam2) for j in range(1, 20000)]), 0.0), 1.0) END"""
+# the regularised upper gamma function by the power series of its complement
+SQL_CHI_P = """greatest(0.0, 1 - list_sum([exp(-x + (a + n) * ln(x) - lgamma(a + n + 1)) for n in range(0, 40000)]))"""
 
 
 @R.add("drift_ks", f"""
 WITH {SQL_EVENT_STATS}
 SELECT "column", round(statistic, 6) AS statistic,
-       round(CASE WHEN statistic = 0 THEN 1.0 ELSE least(greatest(2 * ({SQL_KS_TERMS}), 0.0), 1.0) END, 6) AS p_value
+       round({SQL_KS_P}, 6) AS p_value
 FROM (SELECT *, statistic * statistic * nr * nc / (nr + nc) AS lam2 FROM ks JOIN sizes USING ("column"))""")
 def drift_ks(spark, d):
     found = drift.ks(event_values(spark, d))
@@ -95,7 +101,9 @@ SELECT count(*) AS columns, count(*) FILTER (WHERE score >= 0.1) AS drifted_colu
        round(avg(CASE WHEN score >= 0.1 THEN 1.0 ELSE 0.0 END), 6) AS drift_share,
        avg(CASE WHEN score >= 0.1 THEN 1.0 ELSE 0.0 END) >= 0.5 AS dataset_drift FROM scores""")
 def drift_dataset(spark, d):
-    found = drift.dataset_drift(drift.column_drift(event_values(spark, d), "distance"))
+    events, early = table(spark, d, "events"), F.expr(f"ts < {SPLIT}")
+    found = drift.dataset_drift(drift.column_drift(
+        drift.two_sided_by(events, EVENT_NUMBERS, early), drift.two_sided_by(events, ["event_type"], early, as_text=True)))
     return found.withColumn("drift_share", F.round("drift_share", 6))
 
 
@@ -146,7 +154,7 @@ SELECT "column", 'double' AS type, CAST(0 AS BIGINT) AS missing, (SELECT count(*
 
 def summary(spark, d):
     reference, current = monitored_features(spark, d)
-    found = drift.drift_summary(current, reference, method="distance")
+    found = drift.drift_summary(current, reference, categorical=["category_encoded"])
     return found.withColumn("drift_score", F.round("drift_score", 6))
 
 
@@ -184,11 +192,39 @@ def drift_rollup(spark, d):
     )
 
 
-@R.add("drift_tests")
+@R.add("drift_tests", f"""
+WITH {SQL_FEATURES}, {sql_statistics(SQL_MONITORED)},
+tests AS (
+  SELECT "column", 'ks' AS method, {SQL_KS_P} AS p
+  FROM (SELECT *, statistic * statistic * nr * nc / (nr + nc) AS lam2 FROM ks JOIN sizes USING ("column")) WHERE "column" <> 'category_encoded'
+  UNION ALL
+  SELECT "column", 'chi_square', {SQL_CHI_P} FROM (SELECT "column", statistic / 2 AS x, dof / 2.0 AS a FROM chi) WHERE "column" = 'category_encoded')
+SELECT "column", method, round(p, 6) AS score, p < 0.05 AS drifted FROM tests""")
 def drift_tests(spark, d):
-    """Tests or distances by reference size, per column, with their decision."""
+    """The test of every monitored column with its decision."""
     reference, current = monitored_features(spark, d)
-    return drift.column_drift(drift.two_sided(reference, current, DRIFT_COLUMNS), "auto")
+    found = drift.drift_between(reference, current, DRIFT_COLUMNS, ["category_encoded"], "test")
+    return found.withColumn("score", F.round("score", 6))
+
+
+def labelled_and_not(spark, d):
+    """Labelled documents as the reference, the others as the current table."""
+    docs, labels = table(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), table(spark, d, "labels").select("doc_id")
+    return docs.join(labels, "doc_id", "left_semi"), docs.join(labels, "doc_id", "left_anti")
+
+
+SQL_TOLD = "SELECT *, doc_id IN (SELECT doc_id FROM labels) AS is_ref FROM documents"
+SQL_MIXED_NAMES = " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", dense_rank() OVER (ORDER BY {c})::DOUBLE AS value, is_ref FROM ({SQL_TOLD})""" for c in ("lang", "source"))
+
+
+@R.add("drift_mixed", f"""
+WITH {sql_statistics(SQL_MIXED_NAMES + f""" UNION ALL SELECT 'n_chars', n_chars::DOUBLE, is_ref FROM ({SQL_TOLD})""", ("lang", "source"))}
+SELECT "column", method, round(score, 6) AS score, score >= 0.1 AS drifted FROM scores""")
+def drift_mixed(spark, d):
+    """Drift of text and number columns together."""
+    reference, current = labelled_and_not(spark, d)
+    return drift.drift_between(reference, current, ["lang", "source", "n_chars"]).withColumn("score", F.round("score", 6))
 
 
 @R.add("drift_reference", f"WITH {SQL_FEATURES} SELECT * FROM ref")

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
+import numpy as np
 from pyspark.sql import functions as F
 
-from postlens.constants import CANDIDATE_LABELS, SALARY_PATTERNS, SKILL_PATTERNS
+from postlens.constants import SALARY_PATTERNS, SKILL_PATTERNS
 from postlens.operators import clusters, counts
 from postlens.operators.order import stratified_split
 from postlens.operators.zero_shot import zero_shot_top
@@ -51,14 +50,12 @@ def split_texts(spark, d):
     return flagged.where(~F.col("is_test")).drop("is_test"), flagged.where("is_test").drop("is_test")
 
 
-@lru_cache(maxsize=4)
 def language_forest(spark, d):
-    """The balanced forest on the training part; fitted once per session and folder."""
+    """The balanced forest on the training part, at the library's depth."""
     train, _ = split_texts(spark, d)
-    return models.train_forest(counts.with_class_weights(train, "label"), config=models.BIGRAMS_5000, trees=300, max_depth=12, weight="weight")
+    return models.train_forest(counts.with_class_weights(train, "label"), config=models.BIGRAMS_5000, trees=300, weight="weight")
 
 
-@lru_cache(maxsize=4)
 def language_regression(spark, d):
     train, _ = split_texts(spark, d)
     return models.train_logistic(train, config=models.BIGRAMS_1000)
@@ -69,9 +66,8 @@ def toxic_texts(spark, d):
     return wide_table(spark, d, "documents").select("doc_id", "text").join(labels, "doc_id")
 
 
-@lru_cache(maxsize=4)
 def scam_forest(spark, d):
-    return models.train_forest(toxic_texts(spark, d), config=models.UNIGRAMS_1000, trees=100, max_depth=12)
+    return models.train_forest(toxic_texts(spark, d), config=models.UNIGRAMS_1000, trees=100)
 
 
 @R.add("train_rf")
@@ -98,10 +94,28 @@ def classify_postings(spark, d):
     return scored.select("doc_id", "category", "confidence", F.size("all_predictions").alias("n_labels"))
 
 
-@R.add("score_plugin")
+PLUGIN_WORDS = ["the", "und", "les", "que"]
+
+
+def word_scorer():
+    """A scorer for the hook: how often each label occurs in a text, at most ten times."""
+    return lambda texts: np.array([[min(10, (t or "").count(w)) for w in PLUGIN_WORDS] for t in texts], dtype=float)
+
+
+SQL_PLUGIN = ", ".join(
+    f"least(10, (length(text) - length(replace(text, '{w}', ''))) // {len(w)}) AS n{i}" for i, w in enumerate(PLUGIN_WORDS))
+SQL_BEST = "greatest(n0, n1, n2, n3)"
+
+
+@R.add("score_plugin", f"""
+SELECT doc_id, CASE {' '.join(f"WHEN n{i} = {SQL_BEST} THEN '{w}'" for i, w in enumerate(PLUGIN_WORDS))} END AS category,
+       round(1 / ({' + '.join(f'exp(n{i} - {SQL_BEST})' for i in range(len(PLUGIN_WORDS)))}), 6) AS confidence
+FROM (SELECT doc_id, {SQL_PLUGIN} FROM documents)""")
 def score_plugin(spark, d):
-    scored = models.plugin_scores(wide_table(spark, d, "documents").select("doc_id", "text"), CANDIDATE_LABELS)
-    return scored.select("doc_id", "category", "confidence")
+    """The whole-batch hook with a caller's scorer."""
+    docs = wide_table(spark, d, "documents").select("doc_id", "text")
+    scored = models.plugin_scores(docs, PLUGIN_WORDS, word_scorer)
+    return scored.select("doc_id", "category", F.round("confidence", 6).alias("confidence"))
 
 
 @R.add("scam_score")

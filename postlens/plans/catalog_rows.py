@@ -176,6 +176,21 @@ def quality_profile(spark, d):
     return profile.withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
 
 
+SQL_MIXED_PROFILE = " UNION ALL ".join(f"""
+SELECT '{c}' AS "column", count({c}) AS count, count(*) FILTER (WHERE {c} IS NULL) AS missing, count(DISTINCT {c}) AS "distinct",
+  {f'round(avg({c}), 4)' if number else 'CAST(NULL AS DOUBLE)'} AS mean, {f'round(stddev_samp({c}), 4)' if number else 'CAST(NULL AS DOUBLE)'} AS std,
+  CAST(min({c}) AS VARCHAR) AS min, CAST(max({c}) AS VARCHAR) AS max,
+  (SELECT CAST({c} AS VARCHAR) FROM documents WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1) AS most_common,
+  {', '.join(f'round(quantile_cont({c}, {q}), 4) AS {n}' if number else f'CAST(NULL AS DOUBLE) AS {n}' for q, n in ((0.25, 'q25'), (0.5, 'q50'), (0.75, 'q75')))}
+FROM documents""" for c, number in (("lang", False), ("source", False), ("n_chars", True)))
+
+
+@R.add("quality_profile_mixed", SQL_MIXED_PROFILE)
+def quality_profile_mixed(spark, d):
+    profile = counts.quality_profile(table(spark, d, "documents"), ["lang", "source", "n_chars"])
+    return profile.withColumns({c: F.round(c, 4) for c in ("mean", "std", "q25", "q50", "q75")})
+
+
 def judged_documents(spark, d):
     """Quality labels against a guess from the text length."""
     joined = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
@@ -220,7 +235,7 @@ def class_weights(spark, d):
 @R.add("episode_rollup", """
 WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events),
 k AS (SELECT *, coalesce(max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY step
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM s WHERE step <= 50)
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM s)
 SELECT user_id, round(sum(value), 4) AS total_reward, count(*) AS steps,
        count(*) FILTER (WHERE event_type = 'click') AS extracted, bool_or(event_type = 'purchase') AS succeeded
 FROM k WHERE done = 0 GROUP BY user_id""")

@@ -368,11 +368,11 @@ def display_fields(spark, d):
 
 
 def gazetteer(spark, d):
-    """Names for the entity queries: link words of the pages, nation and region names."""
+    """Names for the entity queries: link texts of the pages of any length, nation and region names."""
     from postlens.sources.html import html_links
 
     word = html_links(wide_table(spark, d, "pages")).select(F.col("text").alias("phrase")).where(
-        F.col("phrase").rlike(r"^[\p{L}\p{N}_]{6,}$")
+        F.col("phrase").rlike(r"^[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)*$")
     ).distinct()
     kind = F.when(F.col("phrase").rlike(r"^\p{Lu}"), "GPE").otherwise("ORG")
     places = table(spark, d, "nation").select(F.col("n_name").alias("phrase"), F.lit("GPE").alias("kind"))
@@ -384,18 +384,23 @@ SQL_GAZETTEER = r"""
 links AS (SELECT unnest(regexp_extract_all(html, '(?s)<a\s[^>]*>(.*?)</a>', 1)) AS phrase FROM pages),
 gazetteer AS (
   SELECT phrase, CASE WHEN regexp_matches(phrase, '^\p{Lu}') THEN 'GPE' ELSE 'ORG' END AS kind
-  FROM (SELECT DISTINCT phrase FROM links WHERE regexp_full_match(phrase, '[\p{L}\p{N}_]{6,}'))
+  FROM (SELECT DISTINCT phrase FROM links WHERE regexp_full_match(phrase, '[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)*'))
   UNION SELECT n_name, 'GPE' FROM nation UNION SELECT r_name, 'GPE' FROM region)"""
+# every run of words up to the length of the longest name
+SQL_RUNS = """SELECT {0}, pos, array_to_string(w[pos:pos + n - 1], ' ') AS phrase
+          FROM (SELECT {0}, w, unnest(range(1, len(w) + 1)) AS pos FROM cut),
+               (SELECT unnest(range(1, 1 + (SELECT max(len(string_split(phrase, ' '))) FROM gazetteer))) AS n)
+          WHERE pos + n - 1 <= len(w)"""
 SQL_WORDS = r"regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+')"
 
 
 @R.add("entities", f"""
 WITH {SQL_GAZETTEER},
-words AS (SELECT doc_id, unnest(w) AS phrase, unnest(range(1, len(w) + 1)) AS pos
-          FROM (SELECT doc_id, {SQL_WORDS.format('text')} AS w FROM documents)),
+cut AS (SELECT doc_id, {SQL_WORDS.format('text')} AS w FROM documents),
+words AS ({SQL_RUNS.format('doc_id')}),
 hits AS (SELECT doc_id, pos, phrase, kind FROM words JOIN gazetteer USING (phrase)),
-lists AS (SELECT doc_id, string_agg(phrase, '|' ORDER BY pos) FILTER (WHERE kind = 'GPE') AS locations,
-                 string_agg(phrase, '|' ORDER BY pos) FILTER (WHERE kind = 'ORG') AS organizations
+lists AS (SELECT doc_id, string_agg(phrase, '|' ORDER BY pos, phrase) FILTER (WHERE kind = 'GPE') AS locations,
+                 string_agg(phrase, '|' ORDER BY pos, phrase) FILTER (WHERE kind = 'ORG') AS organizations
           FROM hits GROUP BY doc_id)
 SELECT d.doc_id, coalesce(locations, '') AS locations, coalesce(organizations, '') AS organizations,
        array_to_string(regexp_extract_all(text, '{mentions.DATE}'), '|') AS dates,
@@ -411,7 +416,7 @@ WITH {SQL_GAZETTEER},
 cut AS (SELECT doc_id, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS place
         FROM (SELECT doc_id, {SQL_SENTENCES} AS s FROM documents)),
 named AS (SELECT DISTINCT doc_id, place
-          FROM (SELECT doc_id, place, unnest({SQL_WORDS.format('sentence')}) AS phrase FROM cut)
+          FROM ({SQL_RUNS.format('doc_id, place').replace('FROM cut', "FROM (SELECT doc_id, place, " + SQL_WORDS.format('sentence') + " AS w FROM cut)")})
           JOIN gazetteer USING (phrase)
           UNION SELECT doc_id, place FROM cut WHERE regexp_matches(sentence, '{mentions.DATE}|{mentions.MONEY}'))
 SELECT doc_id, CAST(rank AS INTEGER) AS rank, sentence

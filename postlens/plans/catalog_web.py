@@ -21,8 +21,12 @@ SQL_BODY = r"regexp_replace(html, '(?is)<(script|style)\b.*?</(script|style)>',
 SQL_TAG = r"(?s)<!--.*?-->|<![^>]*>|<[^>]*>"
 
 
+# the named characters that occur in the pages, the ampersand last
+SQL_NAMED = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
+
+
 def sql_unescape(text: str) -> str:
-    for name, char in html.ENTITIES.items():
+    for name, char in SQL_NAMED.items():
         text = f"replace({text}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     return text
 
@@ -43,6 +47,16 @@ def html_visible_text_tree(spark, d):
     return wide_table(spark, d, "pages").select("page_id", html.visible_text_tree(F.col("html")).alias("text"))
 
 
+ODD_HEAD = "<p>caf&eacute; &#8211; &#x20AC;5 &euro;6 &amp;lt; &unknown; a&nbsp;b</p>"
+
+
+@R.add("html_entities", f"SELECT page_id, 'café – €5 €6 &lt; &unknown; a b' || text AS text FROM (SELECT page_id, {SQL_VISIBLE} AS text FROM pages)")
+def html_entities(spark, d):
+    """Numeric, rare and unknown references before the text of every page."""
+    page = F.concat(F.lit(ODD_HEAD), F.col("html"))
+    return wide_table(spark, d, "pages").select("page_id", html.visible_text(page).alias("text"))
+
+
 SQL_ANCHORS = rf"""
 SELECT page_id, url, unnest(range(0, len(h))) AS pos, unnest(h) AS raw, unnest(t) AS inner_html
 FROM (SELECT page_id, url, regexp_extract_all(body, '(?is)<a\s([^>]*)>(.*?)</a>', 1) AS h,
@@ -81,15 +95,27 @@ TEST_CLASSES = {
 }
 
 
-@R.add("html_page_state", r"""
-SELECT page_id, 'job_listings_' || len(regexp_extract_all(html, '(?i)<div\s[^>]*class="[^">]*(?:ad|job|listing|posting)[^">]*"'))
-  || '_pagination_' || len(regexp_extract_all(html, '(?i)<a\s[^>]*class="[^">]*(?:page|next|pagination)[^">]*"'))
-  || '_job_details_' || len(regexp_extract_all(html, '(?i)<div\s[^>]*class="[^">]*(?:detail|description|content)[^">]*"')) AS state
-FROM pages""")
+SQL_SHOWN = f"regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\\b.*?</(script|style)>', '', 'g')"
+SQL_STATE = f"""
+SELECT page_id, 'job_listings_' || (len(regexp_extract_all(html, '(?i)<div\\s[^>]*class="[^">]*(?:ad|job|listing|posting)[^">]*"')) + {{0}})
+  || '_pagination_' || len(regexp_extract_all(html, '(?i)<a\\s[^>]*class="[^">]*(?:page|next|pagination)[^">]*"'))
+  || '_job_details_' || len(regexp_extract_all(html, '(?i)<div\\s[^>]*class="[^">]*(?:detail|description|content)[^">]*"')) AS state
+FROM (SELECT page_id, {SQL_SHOWN} AS html FROM pages)"""
+
+
+@R.add("html_page_state", SQL_STATE.format(0))
 def html_page_state(spark, d):
     return wide_table(spark, d, "pages").select("page_id", html.page_state(F.col("html"), TEST_CLASSES).alias("state"))
 
 
+@R.add("html_page_state_hidden", SQL_STATE.format(2))
+def html_page_state_hidden(spark, d):
+    """Elements in comments and scripts do not count, those with unquoted classes do."""
+    odd = """<!-- <div class="job"> --><script>"<div class='job'>"</script><div class=job-card><div id=x class='Posting'>"""
+    page = F.concat(F.lit(odd), F.col("html"))
+    return wide_table(spark, d, "pages").select("page_id", html.page_state(page, TEST_CLASSES).alias("state"))
+
+
 # Card layouts for the test pages: list items with a link, and the article
 LIST_ITEM = cards.CardLayout("li", None, (
     cards.Field("title", "a", None, "N/A"),

@@ -28,12 +28,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+FEW_SPLITS = 4
+
+
 def wide_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table for work that is heavy per row, read by no fewer tasks than cores.
 
-    A file of one row group is read by one task whatever its size. Only such narrow
-    inputs are dealt out; large inputs come in enough splits and are left alone.
+    A file of one row group is read by one task whatever its size. Only an input of up
+    to four splits is dealt out, half a gigabyte at the usual split size; anything
+    larger is never shuffled for this, however many cores there are.
     """
     df = table(spark, folder, name)
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(cores) if df.rdd.getNumPartitions() <= min(FEW_SPLITS, cores - 1) else df

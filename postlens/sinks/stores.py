@@ -10,13 +10,6 @@ from postlens.constants import SNAPSHOT_STAMP, STORE_DATABASE, STORE_TABLE
 
 FORMATS = ("json", "csv", "parquet", "jdbc", "postgres", "mongodb")
 
-# fixed values: columns of the relational store
-STORE_DDL = (
-    "id SERIAL PRIMARY KEY, description TEXT, category TEXT, confidence FLOAT, "
-    "timestamp TIMESTAMP, metadata JSONB"
-)
-
-
 def stamp(at: datetime | None = None) -> str:
     return (at or datetime.now()).strftime(SNAPSHOT_STAMP)
 
@@ -81,11 +74,16 @@ def store_rows(df: DataFrame, at: datetime | Column, metadata_json: bool = True)
 
 
 def jdbc_options(url: str | None, table: str = STORE_TABLE, **more: str) -> dict[str, str]:
-    """Writer options; the table is made when absent and rows are appended."""
+    """Writer options; the table is made when absent and rows are appended.
+
+    Column types of a new table are the dialect's own for text, double and timestamp.
+    Untyped strings let an existing table hold the metadata as JSONB and number its
+    rows by itself.
+    """
     if not url:
         raise ValueError("a JDBC url is required")
-    columns = "description TEXT, category TEXT, confidence DOUBLE PRECISION, timestamp TIMESTAMP, metadata TEXT"
-    return {"url": url, "dbtable": table, "createTableColumnTypes": columns, **more}
+    typing = {"stringtype": "unspecified"} if url.startswith("jdbc:postgresql:") else {}
+    return {"url": url, "dbtable": table, **typing, **more}
 
 
 def mongo_options(uri: str | None, database: str = STORE_DATABASE, collection: str = STORE_TABLE,

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
-from functools import reduce
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -13,21 +14,40 @@ from postlens.functions.text import strip
 from postlens.operators.scaling import unrolled
 from postlens.sources.tree import parse_html, visible_lines
 
-# fixed values: named characters resolved by the expression form, ampersand last
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
-    "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&",
-}
+# the named characters of HTML, from Python's table; a non-breaking space reads as a blank
+NAMED = {name: text for name, text in html5.items() if name.endswith(";")} | {"nbsp;": " "}
+REFERENCE = r"&((?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);)"
+COMMENT = r"(?s)<!--.*?-->"
 HIDDEN_BLOCK = r"(?is)<(script|style)\b.*?</(script|style)>"
 TAG = r"(?s)<!--.*?-->|<![^>]*>|<[^>]*>"
 GAP = r"\s*[\r\n]+\s*|\s{2,}"
 ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a>"
 
 
+def _character(name: Column) -> Column:
+    """What a reference without its ampersand stands for; null if it stands for nothing."""
+    digits = F.regexp_extract(name, r"#([0-9]+);", 1).try_cast("int")
+    hexed = F.conv(F.regexp_extract(name, r"#[xX]([0-9A-Fa-f]+);", 1), 16, 10).try_cast("int")
+    point = F.when(name.startswith("#x") | name.startswith("#X"), hexed).otherwise(digits)
+    valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+    numbered = F.decode(F.unhex(F.lpad(F.hex(point.cast("bigint")), 8, "0")), "UTF-32")
+    blank = F.when(point == 160, F.lit(" ")).otherwise(numbered)
+    return F.when(name.startswith("#"), F.when(valid, blank)).otherwise(F.try_element_at(F.from_json(F.lit(json.dumps(NAMED)), "map<string,string>"), name))
+
+
 def unescape(text: Column) -> Column:
-    return reduce(
-        lambda c, pair: F.replace(c, F.lit(pair[0]), F.lit(pair[1])), ENTITIES.items(), text
-    )
+    """Numeric and named references decoded once; what is unknown stays as it is.
+
+    Each distinct reference of a text is replaced in turn, those for an ampersand last,
+    so that nothing is decoded twice.
+    """
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), 1))
+    known = F.filter(F.transform(found, lambda n: F.struct(n.alias("name"), _character(n).alias("value"))),
+                     lambda p: p["value"].isNotNull())
+    swap = lambda acc, p: F.replace(acc, F.concat(F.lit("&"), p["name"]), p["value"])
+    others = F.aggregate(F.filter(known, lambda p: p["value"] != "&"), text, swap)
+    whole = F.aggregate(F.filter(known, lambda p: p["value"] == "&"), others, swap)
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def visible_text(html: Column) -> Column:
@@ -38,7 +58,7 @@ def visible_text(html: Column) -> Column:
 
 @F.pandas_udf(T.StringType())
 def visible_text_tree(html: pd.Series) -> pd.Series:
-    """The same text from a tag walk, for pages with numeric or rare entities."""
+    """The same text from a tag walk."""
     return html.map(lambda h: None if h is None else visible_lines(parse_html(h)))
 
 
@@ -113,10 +133,15 @@ def html_links(pages: DataFrame, key: str = "page_id", html: str = "html", base:
 
 
 def class_count(html: Column, tag: str, pattern: str) -> Column:
-    """How many ``tag`` elements carry a class that matches, in any case."""
-    return F.regexp_count(
-        html, F.lit(rf"""(?is)<{tag}\s(?:[^>]*\s)?class\s*=\s*["'][^"'>]*(?:{pattern})[^"'>]*["']""")
-    )
+    """How many ``tag`` elements carry a class that matches, in any case.
+
+    Elements inside comments, scripts and styles do not exist; a class value may stand
+    in double, single or no quotes.
+    """
+    shown = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), HIDDEN_BLOCK, "")
+    quoted = rf"""["'][^"'>]*(?:{pattern})[^"'>]*["']"""
+    bare = rf"""[^\s"'>]*(?:{pattern})"""
+    return F.regexp_count(shown, F.lit(rf"""(?is)<{tag}\s(?:[^>]*\s)?class\s*=\s*(?:{quoted}|{bare})"""))
 
 
 def page_state(html: Column, classes: Mapping[str, tuple[str, str]] = PAGE_STATE_CLASSES) -> Column:

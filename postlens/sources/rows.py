@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from postlens.constants import OCR_MIN_CONFIDENCE
@@ -14,9 +16,14 @@ def read_postings_json(spark: SparkSession, path: str, schema: T.StructType = BA
                        lines: bool = False) -> DataFrame:
     """Rows of JSON files holding one object or an array of objects.
 
-    ``lines`` reads one object per line, the form whose files Spark can split.
+    ``lines`` reads one object per line, the form whose files Spark can split. What is
+    not JSON gives no row; a field of another type is null.
     """
-    return spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").json(path)
+    broken = "_broken_json"
+    read = spark.read.schema(T.StructType([*schema.fields, T.StructField(broken, T.StringType())]))
+    rows = read.option("multiLine", not lines).option("columnNameOfCorruptRecord", broken).option("mode", "PERMISSIVE").json(path)
+    nothing = reduce(lambda a, b: a & b, [F.col(f.name).isNull() for f in schema.fields])
+    return rows.where(~(F.col(broken).isNotNull() & nothing)).drop(broken)
 
 
 def read_postings_json_or_empty(spark: SparkSession, path: str, schema: T.StructType = BANDED_POSTING) -> DataFrame:

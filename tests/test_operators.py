@@ -116,7 +116,9 @@ def test_episode_stops_at_first_success(spark):
     )
     got = {r.e: r for r in order.episode_rollup(log, "e", ["t"], "r", "s", "x").collect()}
     assert (got[1].total_reward, got[1].steps, got[1].extracted, got[1].succeeded) == (4.0, 4, 2, True)
-    assert (got[2].total_reward, got[2].steps, got[2].succeeded) == (-25.0, 50, False)
+    assert (got[2].total_reward, got[2].steps, got[2].succeeded) == (-40.0, 80, False)
+    cut = {r.e: r for r in order.episode_rollup(log, "e", ["t"], "r", "s", "x", max_steps=50).collect()}
+    assert (cut[2].total_reward, cut[2].steps) == (-25.0, 50)
 
 
 def test_report_of_unseen_class(spark):
@@ -231,10 +233,10 @@ def test_drift_statistics(spark):
     assert drift.jensen_shannon(codes).first().distance == pytest.approx(0.372330, abs=1e-6)
 
 
-@pytest.mark.parametrize("method", ["auto", "distance"])
+@pytest.mark.parametrize("method", ["test", "distance"])
 def test_same_frames_do_not_drift(spark, method):
     frame = numbers(spark, [1, 1, 2, 3, 5, 8, 13, 21, None])
-    got = drift.column_drift(drift.two_sided(frame, frame, ["x"]), method).first()
+    got = drift.column_drift(drift.two_sided(frame, frame, ["x"]), method=method).first()
     assert got.drifted is False
     summary = drift.drift_summary(frame, columns=["x"], method=method).first()
     assert (summary.drifted, summary.drift_score, summary.dataset_drift, summary.missing) == (False, None, False, 1)
@@ -242,16 +244,68 @@ def test_same_frames_do_not_drift(spark, method):
 
 def test_shifted_column_drifts(spark):
     a, b = numbers(spark, range(200)), numbers(spark, range(150, 350))
-    assert drift.column_drift(drift.two_sided(a, b, ["x"]), "auto").first().drifted
+    assert drift.column_drift(drift.two_sided(a, b, ["x"]), method="test").first().drifted
     rolled = drift.summary_rollup(drift.drift_summary(b, a, ["x"])).first()
     assert rolled.dataset_drift and rolled.drift_columns == ["x"] and rolled.data_quality.current_rows == 200
 
 
-def test_categories_use_tests_on_small_references(spark):
-    two = drift.column_drift(drift.two_sided(numbers(spark, [0, 1] * 50), numbers(spark, [0] * 90 + [1] * 10), ["x"])).first()
-    few = drift.column_drift(drift.two_sided(numbers(spark, [0, 1, 2] * 30), numbers(spark, [0] * 80 + [1, 2] * 5), ["x"])).first()
+def test_kind_and_method_decide_not_the_values(spark):
+    test = lambda a, b, **how: drift.drift_between(numbers(spark, a), numbers(spark, b), ["x"], **how).first()
+    two = test([0, 1] * 50, [0] * 90 + [1] * 10, categorical=["x"], method="test")
+    few = test([0, 1, 2] * 30, [0] * 80 + [1, 2] * 5, categorical=["x"], method="test")
     assert (two.method, two.drifted) == ("z_test", True)
     assert (few.method, few.drifted) == ("chi_square", True)
+    assert test([0, 1] * 50, [0] * 90 + [1] * 10, method="test").method == "ks"
+    assert test([0, 1] * 1000, [0] * 90 + [1] * 10, categorical=["x"]).method == "jensen_shannon"
+
+
+def test_text_columns_and_empty_sides(spark):
+    a = spark.createDataFrame([("x", 1), ("y", 2), ("x", None)], "t string, n bigint")
+    b = spark.createDataFrame([("x", 1), ("z", None)], "t string, n bigint")
+    nothing = spark.createDataFrame([], "t string, n bigint")
+    for method in ("test", "distance"):
+        assert drift.drift_between(a, b, ["t", "n"], method=method).count() == 2
+        for left, right in ((a, nothing), (nothing, b), (a, b.withColumn("n", F.lit(None).cast("bigint")))):
+            rows = drift.drift_summary(right, left, ["t", "n"], method=method).collect()
+            assert len(rows) == 2 and not [r for r in rows if r.column == "n" and (r.drifted or r.drift_score is not None)]
+
+
+def test_ks_series_for_small_arguments(spark):
+    p = lambda d, n, m: spark.range(1).select(drift.ks_p_value(F.lit(d), F.lit(float(n)), F.lit(float(m)))).first()[0]
+    assert p(0.0002, 1000, 1_000_000) == pytest.approx(1.0)
+    for lam, want in ((0.5, 0.963945), (0.9, 0.392731), (1.0, 0.269999), (1.1, 0.177718), (1.5, 0.022218), (2.0, 0.000671)):
+        assert p(lam / 10, 200, 200) == pytest.approx(want, abs=2e-6)
+
+
+def test_profile_keeps_whole_numbers_and_text(spark):
+    rows = [(2**53, "b"), (2**53 + 1, "a"), (2**53 + 1, "b"), (-(2**62), None)]
+    got = {r.column: r for r in counts.quality_profile(spark.createDataFrame(rows, "n bigint, t string"), ["n", "t"]).collect()}
+    assert (got["n"].distinct, got["n"].max, got["n"].most_common) == (3, str(2**53 + 1), str(2**53 + 1))
+    assert (got["t"].distinct, got["t"].min, got["t"].most_common, got["t"].missing, got["t"].q50) == (2, "a", "b", 1, None)
+
+
+def test_clusters_below_k_complete_rows(spark):
+    rows = spark.createDataFrame([(1.0, 2.0), (None, 1.0), (2.0, None)], "salary double, experience double")
+    assert {r.job_level for r in clusters.kmeans_levels(rows).collect()} == {"unknown"}
+    assert {r.job_level for r in clusters.kmeans_levels_scaled(rows).collect()} == {None}
+    assert {r.level for r in clusters.cluster_writeback(rows, ["salary", "experience"], ["a", "b", "c"]).collect()} == {None}
+    assert {r.salary_band for r in clusters.salary_bands(rows).collect()} == {None}
+
+
+def test_zero_shot_takes_text_labels(spark):
+    docs = spark.createDataFrame([(1, "fix the wiring"), (2, "zzz qqq")], "id int, text string")
+    labels = spark.createDataFrame([("b", "wiring"), ("a", "soup")], "label string, text string")
+    assert {r.id: r.label for r in zero_shot.zero_shot_top(docs, labels, "id", "label").collect()} == {1: "b", 2: "a"}
+
+
+def test_other_kinds_and_long_names_in_both_plans(spark):
+    docs = spark.createDataFrame([(1, "New York City hires. Ada Lovelace came. Acme Tools Inc. pays.")], "id int, text string")
+    names = spark.createDataFrame([("New York City", "GPE"), ("Ada Lovelace", "PERSON"), ("Acme  Tools", "ORG")], "phrase string, kind string")
+    for limit in (10, 0):
+        found = mentions.entities(docs, "id", names, limit=limit).first()
+        assert (found.locations, found.organizations) == (["New York City"], ["Acme Tools"])
+        points = mentions.key_points(docs, "id", names, phrase_limit=limit).orderBy("rank").collect()
+        assert [p.sentence for p in points] == ["New York City hires.", "Acme Tools Inc."]
 
 
 def test_chi_square_tail():

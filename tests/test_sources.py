@@ -180,3 +180,30 @@ def test_stream_equals_batch(spark, data, tmp_path):
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == batch.count()
     assert texts.scored_texts(batch).exceptAll(got).count() == 0
+
+
+def test_references_are_decoded_once_in_both_forms(spark):
+    page = "<p>caf&eacute; &#8211; &#x20AC;5 &amp;lt; &unknown; &#0; &amp;amp; a&nbsp;b &copy</p>"
+    row = spark.createDataFrame([(page,)], "h string").select(html.visible_text(F.col("h")), html.visible_text_tree(F.col("h"))).first()
+    assert row[0].startswith("café – €5 &lt; &unknown;") and "&amp; a b" in row[0]
+    assert row[1].startswith("café – €5 &lt; &unknown;")
+
+
+def test_state_sees_shown_elements_only(spark):
+    page = """<div class="job"></div><!-- <div class="job"></div> --><script>x = '<div class="job">'</script><div class=job-ad>"""
+    got = spark.createDataFrame([(page,)], "h string").select(html.class_count(F.col("h"), "div", "job|ad")).first()[0]
+    assert got == 2
+
+
+def test_malformed_files_give_no_rows(spark, tmp_path):
+    (tmp_path / "bad.json").write_text('{"title": ')
+    assert rows.read_postings_json(spark, str(tmp_path / "bad.json")).collect() == []
+    (tmp_path / "mixed.json").write_text('{"title": "a"}\nnot json\n')
+    assert [r[0] for r in rows.read_postings_json(spark, str(tmp_path / "mixed.json"), lines=True).collect()] == ["a"]
+    assert rows.read_postings_json(spark, str(tmp_path / "mixed.json"), lines=True).count() == 1
+
+
+def test_store_options_leave_types_to_the_dialect():
+    assert stores.jdbc_options("jdbc:postgresql://h/d") == {
+        "url": "jdbc:postgresql://h/d", "dbtable": "classified_jobs", "stringtype": "unspecified"}
+    assert "createTableColumnTypes" not in stores.jdbc_options("jdbc:x")
