@@ -19,7 +19,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.tokens import WORDS, in_slices, pieces, tokenizer_file
+from postlens.llm.tokens import WORDS, Remembered, encoded, pieces, tokenizer_file
+from postlens.llm.words import few_rows
 
 class SuffixTokens(dict):
     """Longest token that ends a byte string, worked out once per string; None if there is none."""
@@ -40,8 +41,7 @@ class Vocabulary:
         spec, raw = tokenizer_file(path)
         self.special = {entry["content"]: entry["id"] for entry in spec["added_tokens"]}
         self.ids = {raw(t): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
-        self.table = {i: token for token, i in self.ids.items()}
-        self.table |= {i: content.encode() for content, i in self.special.items()}
+        self.table = token_bytes(path)
         self.packed = {i: i.to_bytes(4, "little") for i in self.table}
         self.starts = {t[:i] for t in self.ids for i in range(len(t) + 1)}  # beginnings of tokens
         self.ending = SuffixTokens(self.ids)
@@ -80,7 +80,7 @@ class Vocabulary:
         known = self.pairs.get((a, b))
         if known is None:
             known = self._apart(a, b)
-            if len(self.pairs) < 1_000_000:
+            if len(self.pairs) < 300_000:
                 self.pairs[a, b] = known
         return known
 
@@ -141,22 +141,12 @@ class TrieEncoder:
     ``limit`` of each.
     """
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 150_000):
         self.vocabulary = Vocabulary(path)
-        self.limit = limit
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _remember(self, known: dict[str, bytes], new: dict[str, bytes]) -> dict[str, bytes]:
-        """All of both for this call; ``known`` keeps as many as fit."""
-        if len(known) + len(new) <= self.limit:
-            known.update(new)
-            return known
-        known.update(list(new.items())[:max(0, self.limit - len(known))])
-        return known | new
-
-    def _pieces(self, parts: list[str]) -> dict[str, bytes]:
-        """Ids of pieces, each with its own leading space."""
+        self.pieces, self.words = Remembered(limit), Remembered(limit)
+
+    def _learn(self, parts: list[str]) -> None:
+        """Work out the ids of pieces, each with its own leading space."""
         vocabulary = self.vocabulary
         find, special = vocabulary.words.findall, vocabulary.special
         cut: dict[str, list[str]] = {}
@@ -169,17 +159,25 @@ class TrieEncoder:
         raw = {w.encode(): w for w in fresh if w not in special}
         new = {raw[w]: packed for w, packed in vocabulary.encode_words(list(raw)).items()}
         new |= {w: special[w].to_bytes(4, "little") for w in fresh if w in special}
-        words = self._remember(self.words, new)
-        return {part: b"".join(map(words.__getitem__, own)) for part, own in cut.items()}
+        self.words.learn(new)
+        self.pieces.learn({part: b"".join(map(self.words.__getitem__, own)) for part, own in cut.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = []
         for text in texts:
             parts = pieces(text)
             cut.append([parts[0], *[" " + part for part in parts[1:]]])
-        wanted = set(chain.from_iterable(cut)) - self.pieces.keys()
-        known = self._remember(self.pieces, self._pieces(list(wanted)))
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        self._learn(list(set(chain.from_iterable(cut)) - self.pieces.keys()))
+        return [b"".join(map(self.pieces.__getitem__, parts)) for parts in cut]
+
+
+@functools.cache
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of every id; all that decoding needs."""
+    spec, raw = tokenizer_file(path)
+    special = {entry["content"]: entry["id"] for entry in spec["added_tokens"]}
+    return {i: raw(t) for t, i in spec["model"]["vocab"].items() if t not in special} | {
+        i: content.encode() for content, i in special.items()}
 
 
 @functools.cache
@@ -199,10 +197,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
     def ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = trie_encoder(path)
         for batch in batches:
-            texts = [text or "" for text in batch.to_pylist()]
-            yield pa.array([one for part in in_slices(texts) for one in codec.encode(part)], pa.binary())
+            yield encoded(batch, codec.encode)
 
-    return docs.withColumn(out_col, ids(F.col(text_col)))
+    return few_rows(docs).withColumn(out_col, ids(F.col(text_col)))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -213,10 +210,10 @@ def decode(docs: DataFrame, path: str, ids_col: str = "ids", out_col: str = "dec
     """
     @F.arrow_udf("string")
     def text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = trie_encoder(path).vocabulary.table
+        table = token_bytes(path)
         for batch in batches:
-            rows = (np.frombuffer(ids or b"", "<u4").tolist() for ids in batch.to_pylist())
+            rows = (np.frombuffer(ids.as_buffer() or b"", "<u4").tolist() for ids in batch)
             yield pa.array([b"".join(map(table.__getitem__, row)).decode("utf-8", "replace") for row in rows],
                            pa.string())
 
-    return docs.withColumn(out_col, text(F.col(ids_col)))
+    return few_rows(docs).withColumn(out_col, text(F.col(ids_col)))

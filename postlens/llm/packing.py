@@ -13,7 +13,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens.llm.tokens import packed_ids
-from postlens.llm.words import carried, restored
+from postlens.llm.words import carried, few_rows, restored
 from postlens.session import written
 
 PLAN_SCHEMA = "length bigint, first_rank bigint, end_rank bigint, first_sequence bigint, per_sequence bigint, base bigint"
@@ -80,7 +80,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: i
                      id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, piece, start, length, ids_crc32)``: texts as ids and ``end_id``, long ones cut."""
     tail = end_id.to_bytes(4, "little").hex().upper()
-    ids = docs.select(id_col, packed_ids(F.col(text_col), path).alias("_ids"))
+    ids = few_rows(docs).select(id_col, packed_ids(F.col(text_col), path).alias("_ids"))
     ids = ids.withColumn("_ids", F.concat("_ids", F.expr(f"X'{tail}'")))
     parts = ids.select(id_col, "_ids", F.inline(cut_lengths(F.octet_length("_ids") / 4, capacity)))
     part = F.substring("_ids", (F.col("start") * 4 + 1).cast("int"), (F.col("length") * 4).cast("int"))

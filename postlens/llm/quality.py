@@ -15,7 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.words import carried, restored, texts_of, window_hashes, word_hashes
+from postlens.llm.words import carried, few_rows, restored, texts_of, window_hashes, word_hashes
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -106,5 +106,5 @@ def quality_rules(docs: DataFrame, text_col: str = "text", bands: Bands = Bands(
                 [pa.array(list(c), shape.field(i).type) for i, c in enumerate(columns)], fields=list(shape)
             )
 
-    judged = docs.select(carried(docs), judge(F.col(text_col)).alias("_judged"))
+    judged = few_rows(docs).select(carried(docs), judge(F.col(text_col)).alias("_judged"))
     return restored(judged, docs.columns, {f"{prefix}{name}": F.col(f"_judged.{name}") for name, _ in kinds})

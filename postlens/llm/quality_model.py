@@ -16,7 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from postlens.llm.words import carried, restored, texts_of
+from postlens.llm.words import carried, few_rows, restored, texts_of
 
 SHARES = (0.05, 0.15, 0.4, 0.7)
 
@@ -169,7 +169,7 @@ def score(docs: DataFrame, model: OrdinalModel, text_col: str = "text", least_gr
                 [pa.array(tails.sum(1)), pa.array(tails[:, least_grade - 1].copy()), pa.array([len(r) > 0 for r in rows])],
                 fields=list(shape))
 
-    judged = docs.select(carried(docs), judge(F.col(text_col)).alias("_judged"))
+    judged = few_rows(docs).select(carried(docs), judge(F.col(text_col)).alias("_judged"))
     tail = F.col("_judged.tail")
     return restored(judged, docs.columns, {
         f"{prefix}expected_grade": F.col("_judged.grade"), f"{prefix}tail_probability": tail,

@@ -16,6 +16,8 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, functions as F
 
+from postlens.llm.words import few_rows
+
 # fixed by the contract of the scan; kinds in the order in which equal starts are listed
 BASE = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
@@ -94,7 +96,7 @@ def find_secrets(docs: DataFrame, vocabulary: str, text_col: str = "text", max_r
             found = [scan(text or "", codec, max_ratio) for text in batch.to_pylist()]
             yield pa.array([[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in row] for row in found], shape)
 
-    return docs.withColumn(out_col, spans(F.col(text_col)))
+    return few_rows(docs).withColumn(out_col, spans(F.col(text_col)))
 
 
 def redact(docs: DataFrame, vocabulary: str, text_col: str = "text", mask: str = "[SECRET]",
@@ -117,4 +119,4 @@ def redact(docs: DataFrame, vocabulary: str, text_col: str = "text", mask: str =
                 out.append("".join([*parts, text[at:]]) if parts else text)
             yield pa.array(out, pa.string())
 
-    return docs.withColumn(text_col, masked(F.col(text_col)))
+    return few_rows(docs).withColumn(text_col, masked(F.col(text_col)))

@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from postlens.llm.tokens import encoder, in_slices
+from postlens.llm.tokens import encoded, encoder
+from postlens.llm.words import few_rows
 
 
 def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, width: int = 2,
@@ -30,17 +31,16 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, width:
     @F.arrow_udf("binary")
     def flat(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec, most = encoder(tokenizer), 1 << 8 * width
+        def narrow(packed: bytes) -> bytes:
+            ids = np.frombuffer(packed, "<u4")
+            if len(ids) and int(ids.max()) >= most:
+                raise ValueError(f"an id needs more than {width} bytes")
+            return ids.astype(kind).tobytes()
+
         for batch in batches:
-            out = []
-            for part in in_slices([text or "" for text in batch.to_pylist()]):
-                for packed in codec.encode(part):
-                    ids = np.frombuffer(packed, "<u4")
-                    if len(ids) and int(ids.max()) >= most:
-                        raise ValueError(f"an id needs more than {width} bytes")
-                    out.append(ids.astype(kind).tobytes())
-            yield pa.array(out, pa.binary())
-
-    raw = docs.select(flat(F.col(text_col)).cast("string").alias("value"))
+            yield encoded(batch, lambda texts: list(map(narrow, codec.encode(texts))))
+
+    raw = few_rows(docs).select(flat(F.col(text_col)).cast("string").alias("value"))
     end = end_id.to_bytes(width, "little").decode("latin-1")
     raw.write.option("encoding", "ISO-8859-1").option("lineSep", end).text(folder)
 

@@ -17,10 +17,11 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 import tiktoken
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -76,18 +77,32 @@ def pieces(text: str) -> list[str]:
     return out
 
 
+class Remembered(dict):
+    """Values of at most ``limit`` keys, and of any further keys until the next ``learn``."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.further: dict = {}
+
+    def learn(self, new: dict) -> None:
+        rest = iter(new.items())
+        self.update(islice(rest, max(0, self.limit - len(self))))
+        self.further = dict(rest)
+
+    def __missing__(self, key):
+        return self.further[key]
+
+
 class PieceEncoder:
-    """Packed ids of texts; remembers at most ``limit`` pieces."""
+    """Packed ids of texts; remembers at most ``limit`` pieces at the start of texts, and as many after a space."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 200_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.special = list(self.tokenizer.get_added_tokens_decoder().values())
         self.ranks = rank_encoding(path)
-        self.limit = limit
-        # pieces at the start of a text, and pieces after a space
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.known = Remembered(limit), Remembered(limit)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.ranks and not any(entry.content in text for entry in self.special for text in texts):
@@ -96,16 +111,10 @@ class PieceEncoder:
             return [self._encode([text])[0] for text in texts]
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _learn(self, wanted: set[str], spaced: int) -> dict[str, bytes]:
+    def _learn(self, wanted: set[str], spaced: int) -> Remembered:
         known = self.known[spaced]
         fresh = list(wanted - known.keys())
-        new = dict(zip(fresh, self._encode([" " + p if spaced else p for p in fresh])))
-        if len(known) + len(new) > self.limit:
-            # the pieces of this call are still complete; later calls start from those that fit
-            merged = known | new
-            known.update(list(new.items())[:max(0, self.limit - len(known))])
-            return merged
-        known.update(new)
+        known.learn(dict(zip(fresh, self._encode([" " + p if spaced else p for p in fresh]))))
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -123,7 +132,7 @@ def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
 
 
-def in_slices(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def in_slices(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:
     """Slices of at most ``chars`` characters, or of one longer text."""
     part, size = [], 0
     for text in texts:
@@ -136,17 +145,21 @@ def in_slices(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
         yield part
 
 
+def encoded(texts: pa.Array, encode: Callable[[list[str]], list[bytes]], rows: int = 1000) -> pa.Array:
+    """Ids of an Arrow column, a few texts at a time: a batch of long texts is never held as objects."""
+    done = []
+    for at in range(0, len(texts), rows):
+        own = [text or "" for text in texts.slice(at, rows).to_pylist()]
+        done.append(pa.array([ids for part in in_slices(own) for ids in encode(part)], pa.binary()))
+    return pa.concat_arrays(done) if done else pa.array([], pa.binary())
+
+
 def packed_ids(text: Column, path: str) -> Column:
     """Packed token ids of a text column; a null text has no tokens."""
     @F.arrow_udf("binary")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = encoder(path)
         for batch in batches:
-            texts = [text or "" for text in batch.to_pylist()]
-            yield pa.array([ids for part in in_slices(texts) for ids in codec.encode(part)], pa.binary())
+            yield encoded(batch, codec.encode)
 
     return encode(text)
-
-
-def with_ids(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
-    return docs.withColumn(out_col, packed_ids(F.col(text_col), path))

@@ -67,3 +67,18 @@ def restored(df: DataFrame, columns: list[str], new: dict[str, Column]) -> DataF
     """The columns carried in ``_row`` in their order, with ``new`` replaced in place or added."""
     old = [new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in columns]
     return df.select(*old, *[value.alias(name) for name, value in new.items() if name not in columns])
+
+
+ROWS_PER_BATCH = 1000
+
+
+def few_rows(docs: DataFrame) -> DataFrame:
+    """``docs``, with the session's Arrow batches held to few rows: whole texts can be very long.
+
+    Only what a task holds at once changes, never a result.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(docs.sparkSession.conf.get(key))
+    if not 0 < now <= ROWS_PER_BATCH:
+        docs.sparkSession.conf.set(key, str(ROWS_PER_BATCH))
+    return docs
