@@ -32,17 +32,18 @@ def lines_of(text: Column) -> Column:
 
 def repeated_line_positions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                             min_chars: int = 10, min_docs: int = 2) -> DataFrame:
-    """``(id, drop)``: per document the zero-based positions of its lines to drop.
+    """``(id, text hash, drop)``: per document the zero-based positions of its lines to drop.
 
     A key of at least ``min_chars`` code points found in at least ``min_docs``
     documents loses its lines everywhere but in the smallest document id holding it.
     """
-    base = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    # rows that repeat an id with another text keep positions of their own
+    base = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_hash"), F.col(text_col).alias("_text"))
     keys = F.transform(lines_of(F.col("_text")), line_key)
-    lines = unrolled(base.where(F.col("_id").isNotNull()), ["_id"], keys, "_pos", "_key")
+    lines = unrolled(base.where(F.col("_id").isNotNull()), ["_id", "_hash"], keys, "_pos", "_key")
     lines = lines.where(F.length("_key") >= min_chars)
     hashed = lines.select(
-        "_id", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), F.col("_key")).alias("_h2")
+        "_id", "_hash", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("line"), F.col("_key")).alias("_h2")
     )
     # documents are distinct per hash before they are counted, so no hash fills a task
     held = hashed.groupBy("_h1", "_h2", "_id").agg(F.lit(1).alias("_one"))
@@ -50,7 +51,7 @@ def repeated_line_positions(docs: DataFrame, id_col: str = "doc_id", text_col: s
     repeated = spread.where(F.col("_docs") >= min_docs).drop("_docs")
     found = hashed.join(repeated, ["_h1", "_h2"]).where(F.col("_id") != F.col("_keeper"))
     # bounded by one document's lines
-    return found.groupBy("_id").agg(F.collect_set("_pos").alias("_drop"))
+    return found.groupBy("_id", "_hash").agg(F.collect_set("_pos").alias("_drop"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10,
@@ -58,13 +59,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the text rid of repeated lines, ``n_lines`` before and ``n_dropped``.
 
     Null and empty texts are one empty line and stay (null becomes empty). Rows that
-    repeat a document id count as one document and are all treated alike. A null id
+    repeat a document id count as one document, each with its own lines. A null id
     takes no part: its row is kept whole. An empty table gives an empty one. Added
     columns are named with ``prefix``; an input column of the same name is replaced.
     """
     drops = repeated_line_positions(docs, id_col, text_col, min_chars, min_docs)
-    rows = docs.select(F.col(id_col).alias("_key"), carried(docs))
-    joined = rows.join(drops, F.col("_key") == F.col("_id"), "left")
+    rows = docs.select(F.col(id_col).alias("_key"), F.xxhash64(text_col).alias("_own"), carried(docs))
+    joined = rows.join(drops, (F.col("_key") == F.col("_id")) & (F.col("_own") == F.col("_hash")), "left")
     joined = joined.withColumn("_lines", lines_of(F.col(f"_row.`{text_col}`")))
     count = F.size("_lines")
     # array_except works by hash, so a text of very many lines stays linear

@@ -75,12 +75,30 @@ class OrdinalModel:
         return 1 / (1 + np.exp(self.thresholds[None, :] - scores[:, None]))
 
 
-def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int, min_docs: int = 5,
-                steps: int = 150, rate: float = 0.05, ridge: float = 1e-4) -> OrdinalModel:
+def association(flat: np.ndarray, of: np.ndarray, grades: np.ndarray, n_grades: int, buckets: int) -> np.ndarray:
+    """Per feature, how many standard deviations its rows' share of better grades lies off that of all rows.
+
+    The largest over the borders between grades, under sampling without replacement.
+    """
+    n, rows = np.bincount(flat, minlength=buckets), len(grades)
+    most = np.zeros(buckets)
+    for border in range(1, n_grades):
+        better = (grades >= border).astype(float)
+        share = better.mean()
+        spread = np.sqrt(np.maximum(n * share * (1 - share) * (1 - n / rows), 1e-9))
+        off = np.abs(np.bincount(flat, better[of], minlength=buckets) - n * share) / spread
+        most = np.maximum(most, off)
+    return most
+
+
+def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, buckets: int, min_docs: int = 3,
+                least_association: float = 4.0, steps: int = 150, rate: float = 0.05,
+                ridge: float = 1e-4) -> OrdinalModel:
     """Maximum likelihood of the cumulative-link model by full-batch Adam; repeatable.
 
-    Features of fewer than ``min_docs`` rows stay at weight 0. Without rows the
-    weights are 0 and the thresholds evenly spread.
+    Most words say nothing of quality and would only be learnt by heart: features of
+    fewer than ``min_docs`` rows or under ``least_association`` stay at weight 0.
+    Without rows the weights are 0 and the thresholds evenly spread.
     """
     weights = np.zeros(buckets)
     low, gaps = -1.0, np.zeros(n_grades - 2)
@@ -89,6 +107,7 @@ def fit_ordinal(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, bucke
     flat = np.concatenate(rows)
     of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     seen = np.bincount(flat, minlength=buckets) >= min_docs
+    seen &= association(flat, of, grades, n_grades, buckets) >= least_association
     flat, of = flat[seen[flat]], of[seen[flat]]
     sigmoid = lambda x: 1 / (1 + np.exp(-np.clip(x, -40, 40)))
     n = len(rows)
