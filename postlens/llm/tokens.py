@@ -96,16 +96,21 @@ class Remembered(dict):
 class PieceEncoder:
     """Packed ids of texts; remembers at most ``limit`` pieces at the start of texts, and as many after a space."""
 
-    def __init__(self, path: str, limit: int = 200_000):
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.special = list(self.tokenizer.get_added_tokens_decoder().values())
+    def __init__(self, path: str, limit: int = 100_000):
+        self.path = path
+        self.special = [entry["content"] for entry in tokenizer_file(path)[0]["added_tokens"]]
         self.ranks = rank_encoding(path)
         self.known = Remembered(limit), Remembered(limit)
 
+    @functools.cached_property
+    def tokenizer(self) -> Tokenizer:
+        made = Tokenizer.from_file(self.path)
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def _encode(self, texts: list[str]) -> list[bytes]:
-        if self.ranks and not any(entry.content in text for entry in self.special for text in texts):
+        if self.ranks and not any(string in text for string in self.special for text in texts):
             return [array("I", self.ranks.encode_ordinary(text)).tobytes() for text in texts]
         if self.ranks and len(texts) > 1:
             return [self._encode([text])[0] for text in texts]
