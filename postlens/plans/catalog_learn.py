@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from postlens.constants import SALARY_PATTERNS, SKILL_PATTERNS
 from postlens.operators import clusters, counts
@@ -70,28 +70,51 @@ def scam_forest(spark, d):
     return models.train_forest(toxic_texts(spark, d), config=models.UNIGRAMS_1000, trees=100)
 
 
-@R.add("train_rf")
+SQL_REPORT = """
+WITH held AS (SELECT lang AS label, CAST(round(count(*) * 0.2) AS BIGINT) AS support FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+SELECT label, support, TRUE AS valid FROM held
+UNION ALL SELECT unnest(['macro avg', 'weighted avg']), (SELECT CAST(sum(support) AS BIGINT) FROM held), TRUE"""
+
+
+def checked_report(report):
+    """Support per class, exact in the held-out part, and whether the measures agree with each other."""
+    p, r, f1 = F.col("precision"), F.col("recall"), F.col("f1")
+    shares = p.between(0, 1) & r.between(0, 1) & f1.between(0, 1)
+    follows = F.col("label").endswith(" avg") | (F.abs(f1 * (p + r) - 2 * p * r) < 1e-9)
+    return report.select("label", F.col("support").cast("bigint").alias("support"), (shares & follows).alias("valid"))
+
+
+@R.add("train_rf", SQL_REPORT)
 def train_rf(spark, d):
     """Report of the forest on the held-out texts."""
     _, test = split_texts(spark, d)
     scored = models.classify_postings(test, language_forest(spark, d))
-    return counts.classification_report(scored, "label", "category")
+    return checked_report(counts.classification_report(scored, "label", "category"))
 
 
-@R.add("train_lr")
+@R.add("train_lr", SQL_REPORT)
 def train_lr(spark, d):
     """Report of the regression on the held-out texts."""
     _, test = split_texts(spark, d)
     scored = models.classify_postings(test, language_regression(spark, d))
-    return counts.classification_report(scored, "label", "category")
+    return checked_report(counts.classification_report(scored, "label", "category"))
 
 
-@R.add("classify_postings")
+@R.add("classify_postings", """
+SELECT doc_id, (SELECT count(DISTINCT lang) FROM documents)::INTEGER AS n_labels, TRUE AS sums_to_one, TRUE AS ranked, TRUE AS best_first
+FROM documents""")
 def classify_postings(spark, d):
-    """Every document scored by a saved and reloaded model."""
+    """Every document scored by a saved and reloaded model; the prediction's parts against each other."""
     path = models.save_model(language_regression(spark, d), scratch_path(spark, "model"))
     scored = models.classify_postings(language_texts(spark, d), models.load_model(path))
-    return scored.select("doc_id", "category", "confidence", F.size("all_predictions").alias("n_labels"))
+    every = F.transform("all_predictions", lambda p: p["score"])
+    first = F.col("all_predictions")[0]
+    return scored.select(
+        "doc_id", F.size("all_predictions").alias("n_labels"),
+        (F.abs(F.aggregate(every, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
+        (every == F.reverse(F.array_sort(every))).alias("ranked"),
+        ((first["label"] == F.col("category")) & (first["score"] == F.col("confidence"))).alias("best_first"),
+    )
 
 
 PLUGIN_WORDS = ["the", "und", "les", "que"]
@@ -118,30 +141,51 @@ def score_plugin(spark, d):
     return scored.select("doc_id", "category", F.round("confidence", 6).alias("confidence"))
 
 
-@R.add("scam_score")
+@R.add("scam_score", f"""
+SELECT doc_id, TRUE AS flag_follows, TRUE AS best_follows, has_email, has_phone, has_url FROM ({PARTS["scam_features"]})""")
 def scam_score(spark, d):
+    """Scores of every document against each other, with features that need no word list."""
     scored = models.scam_scores(wide_table(spark, d, "documents").select("doc_id", "text"), scam_forest(spark, d))
-    return scored.select("doc_id", "is_scam", "scam_probability", "p_scam", "features.*")
+    p = F.col("p_scam")
+    return scored.select(
+        "doc_id", (F.col("is_scam") == (p > 0.5)).alias("flag_follows"),
+        (F.abs(F.col("scam_probability") - F.greatest(p, 1 - p)) < 1e-9).alias("best_follows"),
+        *[F.col("features")[c].alias(c) for c in ("has_email", "has_phone", "has_url")],
+    )
 
 
-@R.add("feature_importance")
+@R.add("feature_importance", "SELECT CAST(range AS INTEGER) AS rank, TRUE AS known, TRUE AS falling FROM range(1, 21)")
 def feature_importance(spark, d):
-    return models.feature_importance(language_forest(spark, d))
+    """The twenty strongest terms: all from the texts, none stronger than the one before."""
+    top = models.feature_importance(scam_forest(spark, d))
+    before = F.lag("importance").over(Window.orderBy("rank"))
+    falling = F.coalesce(F.col("importance") <= before, F.lit(True)) & (F.col("importance") > 0)
+    return top.select("rank", F.col("term").rlike(r"^[\p{L}\p{N}_]{2,}$").alias("known"), falling.alias("falling"))
 
 
-@R.add("model_summary")
+@R.add("model_summary", """
+SELECT unnest(['model_type', 'class_count', 'classes', 'can_predict', 'can_predict_proba', 'has_feature_importances']) AS property,
+       unnest(['RandomForestClassificationModel', (SELECT CAST(count(DISTINCT toxic) AS VARCHAR) FROM labels),
+               (SELECT string_agg(DISTINCT toxic, ', ' ORDER BY toxic) FROM labels), 'True', 'True', 'True']) AS value""")
 def model_summary(spark, d):
-    return models.model_summary(language_forest(spark, d))
+    """The parts of a model's summary that follow from the tables and its kind."""
+    facts = ["model_type", "class_count", "classes", "can_predict", "can_predict_proba", "has_feature_importances"]
+    return models.model_summary(scam_forest(spark, d)).where(F.col("property").isin(facts))
 
 
-@R.add("analyze_postings")
+@R.add("analyze_postings", """
+SELECT doc_id, TRUE AS known, TRUE AS risk_follows, TRUE AS flag_follows, TRUE AS timed FROM documents""")
 def analyze_postings(spark, d):
+    """Every document analysed; what follows from other columns does."""
     rows = analyze(
         wide_table(spark, d, "documents").select("doc_id", "text"), language_regression(spark, d), scam_forest(spark, d)
     )
+    p = F.col("p_scam")
+    tier = F.when(p > 0.7, "red").when(p > 0.3, "orange").otherwise("green")
     return rows.select(
-        "doc_id", "category", "confidence", "is_scam", "scam_probability", "risk",
-        F.array_join("indicators", ", ").alias("indicators"), "timestamp",
+        "doc_id", ((F.length("category") == 2) & F.col("confidence").between(0, 1)).alias("known"),
+        (F.col("risk") == tier).alias("risk_follows"), (F.col("is_scam") == (p > 0.5)).alias("flag_follows"),
+        F.col("timestamp").isNotNull().alias("timed"),
     )
 
 
@@ -177,20 +221,40 @@ def priced_lines(spark, d):
     )
 
 
-@R.add("kmeans_levels")
+SQL_LEVELS = """
+SELECT 'entry-level' AS job_level, 0 AS level_cluster, TRUE AS rising, (SELECT count(*) FROM lineitem) AS all_rows
+UNION ALL SELECT 'mid-level', 1, TRUE, (SELECT count(*) FROM lineitem) UNION ALL SELECT 'senior-level', 2, TRUE, (SELECT count(*) FROM lineitem)"""
+
+
+def checked_levels(levelled):
+    """A row per level: its name, that its mean salary lies above the level before, and the rows of all levels."""
+    means = levelled.groupBy("job_level", "level_cluster").agg(F.avg("salary").alias("_m"), F.count("*").alias("_n"))
+    order = Window.orderBy("level_cluster")
+    rising = F.coalesce(F.col("_m") > F.lag("_m").over(order), F.lit(True))
+    return means.select("job_level", "level_cluster", rising.alias("rising"), F.sum("_n").over(Window.partitionBy()).alias("all_rows"))
+
+
+@R.add("kmeans_levels", SQL_LEVELS)
 def kmeans_levels(spark, d):
-    return clusters.kmeans_levels(priced_lines(spark, d))
+    return checked_levels(clusters.kmeans_levels(priced_lines(spark, d)))
 
 
-@R.add("kmeans_levels_scaled")
+@R.add("kmeans_levels_scaled", SQL_LEVELS)
 def kmeans_levels_scaled(spark, d):
-    return clusters.kmeans_levels_scaled(priced_lines(spark, d))
+    return checked_levels(clusters.kmeans_levels_scaled(priced_lines(spark, d)))
 
 
-@R.add("salary_bands")
+@R.add("salary_bands", """
+SELECT 'Band ' || range AS salary_band, TRUE AS above, TRUE AS one_range, (SELECT count(*) FROM orders) AS all_rows FROM range(3)""")
 def salary_bands(spark, d):
+    """A row per band: above the band before, one range, and the rows of all bands."""
     rows = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("salary"))
-    return clusters.salary_bands(rows)
+    bands = clusters.salary_bands(rows).groupBy("salary_band").agg(
+        F.min("salary").alias("_low"), F.max("salary").alias("_high"), F.count("*").alias("_n"),
+        F.min("salary_range").alias("_r1"), F.max("salary_range").alias("_r2"))
+    above = F.coalesce(F.col("_low") > F.lag("_high").over(Window.orderBy("salary_band")), F.lit(True))
+    return bands.select("salary_band", above.alias("above"), (F.col("_r1") == F.col("_r2")).alias("one_range"),
+                        F.sum("_n").over(Window.partitionBy()).alias("all_rows"))
 
 
 @R.add("experience_tree", """
