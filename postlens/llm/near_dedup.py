@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.llm.graph import components
-from postlens.llm.words import shingle_set, texts_of
+from postlens.llm.words import few_rows, shingle_set, texts_of
 from postlens.operators.scaling import small_side
 from postlens.session import written
 
@@ -106,7 +106,7 @@ def sketches(docs: DataFrame, how: Similarity, id_col: str, text_col: str) -> Da
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(halves[::2]), pa.array(halves[1::2]),
                  pa.array(signatures, pa.binary())], schema=schema)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = few_rows(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(sketch, SKETCH)
 
 
@@ -178,7 +178,7 @@ def group_links(texts: DataFrame, groups: DataFrame, how: Similarity) -> DataFra
     """All links inside groups, as a forest: ``groups`` is (id, n_shingles, grp, degree)."""
     weight = F.sum(F.col("n_shingles") + DOC_WEIGHT)
     hub = F.max_by("id", F.struct("degree", F.negative("id"))).alias("hub")
-    sizes = groups.groupBy("grp").agg(F.ceil(weight / how.block_weight).cast("int").alias("blocks"), hub)
+    sizes = small_side(groups.groupBy("grp").agg(F.ceil(weight / how.block_weight).cast("int").alias("blocks"), hub), "sizes")
     dealt = written(groups.join(sizes, "grp").select("id", "n_shingles", "grp", "blocks", "hub"), "groups")
 
     def with_text(rows: DataFrame) -> DataFrame:
@@ -224,8 +224,7 @@ def near_duplicates(docs: DataFrame, how: Similarity = Similarity(), id_col: str
     Words are split at ASCII white space with A-Z lower-cased. A text with fewer words
     than a shingle is one shingle; a null, empty or blank text has none and is linked
     with nothing. ``component_id`` is the smallest id reachable over links, ``kept``
-    is true for it alone. Rows that repeat an id are one document: links of either
-    text count for both. A row without an id takes no part: no component, kept. An
+    is true for it alone. Rows that repeat an id are judged each by its own text. A row without an id takes no part: no component, kept. An
     empty table gives an empty one; other columns are left out.
     """
     base = written(sketches(docs, how, id_col, text_col), "sketches")
@@ -257,7 +256,8 @@ def drop_near_duplicates(docs: DataFrame, how: Similarity = Similarity(), id_col
                          text_col: str = "text") -> DataFrame:
     """``docs`` with one document per group of near-duplicates; its columns are unchanged.
 
-    Rows that repeat a kept id all stay; rows without an id stay.
+    Rows that repeat an id all stay if any of them is kept; rows without an id stay.
     """
-    dropped = near_duplicates(docs, how, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
+    judged = near_duplicates(docs, how, id_col, text_col)
+    dropped = judged.groupBy(id_col).agg(F.max("kept").alias("kept")).where(~F.col("kept")).select(id_col)
     return docs.join(small_side(dropped, "dropped"), id_col, "left_anti")
