@@ -28,14 +28,14 @@ BASE = (
 )
 KINDS = [kind for kind, _ in BASE] + ["random"]
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=.-])|[A-Za-z0-9+/_=-]{201,}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")  # maximal runs
+SEGMENT = re.compile(r"[^/]{20,}")
+HOST = re.compile(r"(?:://(?:[^\s/?#@]*@)?|@)([A-Za-z0-9.-]+)")
 DIGEST = re.compile(r"[0-9a-fA-F]+\Z")
 DIGEST_LENGTHS = {32, 40, 48, 56, 64, 96, 128}
 IDENTIFIERS = re.compile(
     r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9+/_=-]+"  # numbers, dates and rules
-    r"|[A-Za-z]+([_/=+-]+[A-Za-z]+)*[_/=+-]*[0-9]{0,4}"  # words joined by signs, with a short number
-    r"|[A-Z0-9]+([_-][A-Z0-9]+)+"  # constants and part numbers
 )
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -58,17 +58,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def is_random(run: str, codec: tiktoken.Encoding, max_ratio: float) -> bool:
+    """Whether a token is spent on every few characters; capitals may also be read as small letters."""
+    if DIGEST.match(run) and len(run) in DIGEST_LENGTHS or IDENTIFIERS.fullmatch(run):
+        return False
+    forms = [run, run.lower()] if run.isupper() else [run]
+    return all(len(run) <= max_ratio * len(codec.encode_ordinary(form)) for form in forms)
+
+
 def random_spans(text: str, codec: tiktoken.Encoding, max_ratio: float) -> list[tuple[int, int, int]]:
-    """Candidates of at least two character classes spending a token on every few characters."""
-    found = []
+    """Candidates spending a token on every few characters.
+
+    A run is decided whole, or else by its segments between slashes; after a dot or in
+    an address (``://``) only by these. Host names are no candidates.
+    """
+    found, hosts = [], None
     for match in CANDIDATE.finditer(text):
-        run = match.group()
-        if DIGEST.match(run) and len(run) in DIGEST_LENGTHS or IDENTIFIERS.fullmatch(run):
-            continue
-        if not (any("0" <= c <= "9" for c in run) and any(c.isalpha() for c in run)):
-            continue
-        if len(run) <= max_ratio * len(codec.encode_ordinary(run)):
-            found.append((match.start(), len(BASE), match.end()))
+        start, run = match.start(), match.group()
+        if hosts is None:
+            hosts = [m.span(1) for m in HOST.finditer(text)]
+        address = run.startswith("//") or "/" in run and text[start - 1:start] == "."
+        spans = [] if address else [(start, match.end())]
+        if "/" in run:
+            spans += [(start + m.start(), start + m.end()) for m in SEGMENT.finditer(run)]
+        for one, end in spans:
+            if found and one < found[-1][2] or any(a <= one and end <= b for a, b in hosts):
+                continue
+            if is_random(text[one:end], codec, max_ratio):
+                found.append((one, len(BASE), end))
     return found
 
 
