@@ -217,11 +217,25 @@ SQL_ORDER_ROWS = """SELECT CAST(o_orderkey AS VARCHAR) AS title, o_orderpriority
 
 @R.add("src_json", SQL_ORDER_ROWS)
 def src_json(spark, d):
+    """Orders written as JSON arrays and read through the posting reader."""
+    path = stores.write_json_arrays(order_rows(spark, d), scratch_path(spark, "src_json"))
+    return rows.read_postings_json(spark, path)
+
+
+@R.add("src_json_lines", SQL_ORDER_ROWS)
+def src_json_lines(spark, d):
     """Orders written as JSON lines and read through the posting reader."""
-    path = stores.write_json(order_rows(spark, d), scratch_path(spark, "src_json"))
+    path = stores.write_json(order_rows(spark, d), scratch_path(spark, "src_json_lines"))
     return rows.read_postings_json(spark, path, lines=True)
 
 
+@R.add("src_json_texts", "SELECT text FROM documents")
+def src_json_texts(spark, d):
+    """The documents as JSON arrays of texts, read as an upload."""
+    path = stores.write_json_arrays(table(spark, d, "documents").select("text"), scratch_path(spark, "src_json_texts"))
+    return rows.read_json_strings(spark, path).select("text")
+
+
 @R.add("src_json_strings", f"""
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, text FROM (
   SELECT doc_id, unnest(range(0, len(s))) AS pos, unnest(s) AS text FROM (SELECT doc_id, {SQL_SENTENCES} AS s FROM documents))""")

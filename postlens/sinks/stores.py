@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from postlens.constants import SNAPSHOT_STAMP, STORE_DATABASE, STORE_TABLE
 
 FORMATS = ("json", "csv", "parquet", "jdbc", "postgres", "mongodb")
 
+
 def stamp(at: datetime | None = None) -> str:
     return (at or datetime.now()).strftime(SNAPSHOT_STAMP)
 
@@ -19,6 +22,28 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
+def write_json_arrays(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    """One JSON array per partition: of objects, or of texts where there is one string column."""
+    value = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            lines = []
+            for text in batch.column(0).to_pylist():
+                lines.append("[" if held is None else held + ",")
+                held = text
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]"] if held is None else [held, "]"], pa.string())], ["value"])
+
+    if [f.dataType for f in df.schema.fields] == [T.StringType()]:
+        # a list of texts: the value of the only field
+        whole = F.to_json(F.array(F.col(f"`{df.columns[0]}`")))
+        value = F.substr(whole, F.lit(2), F.length(whole) - 2)
+    df.select(value.alias("value")).mapInArrow(arrays, "value string").write.mode(mode).text(path)
+    return path
+
+
 def write_snapshot(df: DataFrame, base: str, at: datetime | None = None, prefix: str = "jobs") -> str:
     """A JSON folder named by the time of writing."""
     return write_json(df, f"{base.rstrip('/')}/{prefix}_{stamp(at)}", mode="errorifexists")

@@ -10,18 +10,23 @@ from postlens.constants import OCR_MIN_CONFIDENCE
 from postlens.functions.text import strip
 from postlens.operators.scaling import unrolled
 from postlens.schemas import BANDED_POSTING, POSTING
+from postlens.sources.json_array import json_elements
 
 
 def read_postings_json(spark: SparkSession, path: str, schema: T.StructType = BANDED_POSTING,
                        lines: bool = False) -> DataFrame:
-    """Rows of JSON files holding one object or an array of objects.
+    """Rows of JSON files holding one object or an array of objects, or one object per line (``lines``).
 
-    ``lines`` reads one object per line, the form whose files Spark can split. What is
-    not JSON gives no row; a field of another type is null.
+    All forms are read in splits. What is not JSON gives no row, and an array cut short
+    gives its whole objects; a field of another type is null.
     """
     broken = "_broken_json"
-    read = spark.read.schema(T.StructType([*schema.fields, T.StructField(broken, T.StringType())]))
-    rows = read.option("multiLine", not lines).option("columnNameOfCorruptRecord", broken).option("mode", "PERMISSIVE").json(path)
+    wider = T.StructType([*schema.fields, T.StructField(broken, T.StringType())])
+    if lines:
+        rows = spark.read.schema(wider).option("columnNameOfCorruptRecord", broken).option("mode", "PERMISSIVE").json(path)
+    else:
+        parsed = F.from_json("element", wider, {"columnNameOfCorruptRecord": broken, "mode": "PERMISSIVE"})
+        rows = json_elements(spark, path).select(parsed.alias("_r")).where(F.col("_r").isNotNull()).select("_r.*")
     nothing = reduce(lambda a, b: a & b, [F.col(f.name).isNull() for f in schema.fields])
     return rows.where(~(F.col(broken).isNotNull() & nothing)).drop(broken)
 
@@ -47,17 +52,19 @@ def explode_json_strings(df: DataFrame, column: str, keep: tuple[str, ...] = ())
 
 
 def read_json_strings(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Posting texts from JSON.
+    """Posting texts from JSON: ``(file, pos, text)`` of arrays, or one JSON string per line (``lines``).
 
-    An array is one upload and is read by one task; ``lines`` reads one JSON string
-    per line and splits files of any size.
+    Both forms are read in splits; a file that holds no array raises.
     """
     if lines:
         raw = spark.read.text(path).where(F.trim("value") != "")
         one = F.concat(F.lit("["), F.col("value"), F.lit("]")).alias("value")
         return explode_json_strings(raw.select(one), "value").select("text")
-    whole = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
-    return explode_json_strings(whole, "value", ("file",))
+    one = F.when(F.col("listed"), F.concat(F.lit("["), F.col("element"), F.lit("]")))
+    parsed = F.from_json(one, "array<string>")
+    text = F.when(F.size(parsed) == 1, F.struct(parsed[0].alias("text"))).otherwise(
+        F.raise_error(F.lit("expected a JSON list of posting texts")).cast("struct<text: string>"))
+    return json_elements(spark, path).select("file", "pos", text["text"].alias("text"))
 
 
 def typed_postings(raw: DataFrame, schema: T.StructType = POSTING) -> DataFrame:
