@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens.constants import CHUNK_CHARS, KEY_POINT_LIMIT, SUMMARY_MAX_WORDS, SUMMARY_MIN_WORDS, WORD
 from postlens.functions import text as X
-from postlens.functions.scores import bind
+from postlens.operators.phrases import NAMES, Names, listed_names, names_in_text, naming_sentences
 from postlens.operators.scaling import broadcast_if_small, unrolled
 
-LISTED_PHRASES = 10_000
 MONEY = r"[$€£₹]\s?\d+(?:[.,]\d+)*"
 DATE = (
     r"\d{4}-\d{2}-\d{2}"
@@ -54,6 +53,12 @@ def names_of(gazetteer: DataFrame) -> DataFrame:
     return named.where(F.col("phrase") != "").distinct()
 
 
+def short_names(gazetteer: DataFrame, longest: int | None) -> DataFrame:
+    """Names of at most ``longest`` words, by default all."""
+    names = names_of(gazetteer)
+    return names if longest is None else names.where(F.size(F.split("phrase", " ")) <= longest)
+
+
 def longest_name(names: DataFrame) -> int:
     """Words in the longest name; one row of one aggregate."""
     return names.agg(F.coalesce(F.max(F.size(F.split("phrase", " "))), F.lit(1)).alias("n")).first()["n"]
@@ -71,55 +76,24 @@ def gazetteer_hits(df: DataFrame, keys: list[str], text: str, gazetteer: DataFra
     return phrase_rows(df, keys, text, longest).join(broadcast_if_small(listed), "phrase")
 
 
-def listed_phrases(gazetteer: DataFrame, limit: int = LISTED_PHRASES) -> dict[str, list[str]] | None:
-    """Phrases by kind when the list is short enough to travel with the plan, else None.
-
-    At most ``limit + 1`` rows are fetched to find out.
-    """
-    rows = names_of(gazetteer).limit(limit + 1).collect()
-    if len(rows) > limit:
-        return None
-    return {kind: sorted(r.phrase for r in rows if r.kind == kind) for kind in KINDS}
-
-
-def listed_in_text(text: Column, phrases: Sequence[str], longest: int | None = None) -> Column:
-    """Listed phrases of a text in reading order, tested by a hash set in place."""
-    if not phrases:
-        return no_strings()
-    longest = max(p.count(" ") + 1 for p in phrases) if longest is None else longest
-    found = F.regexp_extract_all(text, F.lit(f"({WORD_RUN})"), 1)
-
-    def runs(words: Column) -> Column:
-        placed = [
-            F.filter(
-                F.transform(X.ngrams(words, n), lambda p, i: F.struct(i.alias("pos"), p.alias("phrase"))),
-                lambda h: h["phrase"].isin(list(phrases)),
-            )
-            for n in range(1, longest + 1)
-        ]
-        return F.transform(F.array_sort(F.concat(*placed)), lambda h: h["phrase"])
-
-    return bind(found, runs)
-
-
 def no_strings() -> Column:
     return F.array().cast("array<string>")
 
 
 def entities(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text", longest: int | None = None,
-             limit: int = LISTED_PHRASES) -> DataFrame:
+             limit: int = NAMES) -> DataFrame:
     """``(key, locations, organizations, dates, money)`` in reading order.
 
-    A short gazetteer is tested inside each row, without any shuffle. A long one is
+    Names are found by one automaton, in one pass per text without a shuffle, whatever
+    their number and length. Only a list beyond ``limit`` names, too long to broadcast, is
     joined on the phrase; its lists stay within one text, so gathering is bounded.
+    ``longest`` leaves out names of more words.
     """
     by_pattern = [pattern_entities(F.col(text), "DATE").alias("dates"), pattern_entities(F.col(text), "MONEY").alias("money")]
-    listed = listed_phrases(gazetteer, limit)
-    if listed is not None:
-        return df.select(
-            key, listed_in_text(F.col(text), listed["GPE"], longest).alias("locations"),
-            listed_in_text(F.col(text), listed["ORG"], longest).alias("organizations"), *by_pattern,
-        )
+    names = listed_names(short_names(gazetteer, longest), limit)
+    if names is not None:
+        found = df.withColumn("_names", names_in_text(F.col(text), names, KINDS))
+        return found.select(key, F.col("_names.GPE").alias("locations"), F.col("_names.ORG").alias("organizations"), *by_pattern)
     hits = gazetteer_hits(df, [key], text, gazetteer, longest)
     gathered = hits.groupBy(key).agg(*[
         F.transform(
@@ -134,22 +108,18 @@ def entities(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text",
     )
 
 
-def named_sentences(text: Column, phrases: Sequence[str], limit: int = KEY_POINT_LIMIT, longest: int | None = None) -> Column:
-    """The first sentences that hold a listed phrase, a date or an amount."""
-    def names(sentence: Column) -> Column:
-        by_pattern = sentence.rlike(f"{DATE}|{MONEY}")
-        return by_pattern | (F.size(listed_in_text(sentence, phrases, longest)) > 0) if phrases else by_pattern
-
-    return F.slice(F.filter(X.sentences(text), names), 1, limit)
+def named_sentences(text: Column, names: Names, limit: int = KEY_POINT_LIMIT) -> Column:
+    """The first sentences that hold a listed name, a date or an amount."""
+    return naming_sentences(text, names, f"{DATE}|{MONEY}", limit, X.SPACE_CHARS)
 
 
 def key_points(df: DataFrame, key: str, gazetteer: DataFrame, text: str = "text",
-               limit: int = KEY_POINT_LIMIT, longest: int | None = None, phrase_limit: int = LISTED_PHRASES) -> DataFrame:
+               limit: int = KEY_POINT_LIMIT, longest: int | None = None, phrase_limit: int = NAMES) -> DataFrame:
     """``(key, rank, sentence)``: the first sentences that name an entity."""
-    listed = listed_phrases(gazetteer, phrase_limit)
-    if listed is not None:
-        points = named_sentences(F.col(text), listed["GPE"] + listed["ORG"], limit, longest)
-        return unrolled(df, [key], points, "_p", "sentence").select(key, (F.col("_p") + 1).alias("rank"), "sentence")
+    names = listed_names(short_names(gazetteer, longest), phrase_limit)
+    if names is not None:
+        points = df.select(key, named_sentences(F.col(text), names, limit).alias("_points"))
+        return unrolled(points, [key], F.col("_points"), "_p", "sentence").select(key, (F.col("_p") + 1).alias("rank"), "sentence")
     cut = unrolled(df, [key], X.sentences(F.col(text)), "place", "sentence")
     named = gazetteer_hits(cut, [key, "place"], "sentence", gazetteer, longest).select(key, "place").distinct()
     by_pattern = cut.where(F.col("sentence").rlike(f"{DATE}|{MONEY}")).select(key, "place")

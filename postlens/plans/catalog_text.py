@@ -368,12 +368,11 @@ def display_fields(spark, d):
 
 
 def gazetteer(spark, d):
-    """Names for the entity queries: link texts of the pages of any length, nation and region names."""
+    """Names for the entity queries: link texts of the pages with a word, nation and region names."""
     from postlens.sources.html import html_links
 
     word = html_links(wide_table(spark, d, "pages")).select(F.col("text").alias("phrase")).where(
-        F.col("phrase").rlike(r"^[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)*$")
-    ).distinct()
+        F.col("phrase").rlike(r"[\p{L}\p{N}_]")).distinct()
     kind = F.when(F.col("phrase").rlike(r"^\p{Lu}"), "GPE").otherwise("ORG")
     places = table(spark, d, "nation").select(F.col("n_name").alias("phrase"), F.lit("GPE").alias("kind"))
     regions = table(spark, d, "region").select(F.col("r_name").alias("phrase"), F.lit("GPE").alias("kind"))
@@ -381,11 +380,13 @@ def gazetteer(spark, d):
 
 
 SQL_GAZETTEER = r"""
-links AS (SELECT unnest(regexp_extract_all(html, '(?s)<a\s[^>]*>(.*?)</a>', 1)) AS phrase FROM pages),
+links AS (SELECT trim(unnest(regexp_extract_all(html, '(?s)<a\s[^>]*>(.*?)</a>', 1))) AS phrase FROM pages),
 gazetteer AS (
-  SELECT phrase, CASE WHEN regexp_matches(phrase, '^\p{Lu}') THEN 'GPE' ELSE 'ORG' END AS kind
-  FROM (SELECT DISTINCT phrase FROM links WHERE regexp_full_match(phrase, '[\p{L}\p{N}_]+( [\p{L}\p{N}_]+)*'))
-  UNION SELECT n_name, 'GPE' FROM nation UNION SELECT r_name, 'GPE' FROM region)"""
+  SELECT array_to_string(regexp_extract_all(phrase, '[\p{L}\p{N}_]+'), ' ') AS phrase,
+         CASE WHEN regexp_matches(phrase, '^\p{Lu}') THEN 'GPE' ELSE 'ORG' END AS kind
+  FROM links WHERE regexp_matches(phrase, '[\p{L}\p{N}_]')
+  UNION SELECT array_to_string(regexp_extract_all(n_name, '[\p{L}\p{N}_]+'), ' '), 'GPE' FROM nation
+  UNION SELECT array_to_string(regexp_extract_all(r_name, '[\p{L}\p{N}_]+'), ' '), 'GPE' FROM region)"""
 # every run of words up to the length of the longest name
 SQL_RUNS = """SELECT {0}, pos, array_to_string(w[pos:pos + n - 1], ' ') AS phrase
           FROM (SELECT {0}, w, unnest(range(1, len(w) + 1)) AS pos FROM cut),
