@@ -9,7 +9,7 @@ from postlens.constants import SALARY_PATTERNS, SKILL_PATTERNS
 from postlens.operators import clusters, counts
 from postlens.operators.order import stratified_split
 from postlens.operators.zero_shot import zero_shot_top
-from postlens.plans import models
+from postlens.plans import models, sequence
 from postlens.plans.catalog_text import R as TEXT, SQL_COUNTS, gazetteer, sql_skills
 from postlens.plans.profile import analyze_postings as analyze, text_profile as profile
 from postlens.plans.registry import Registry, table, wide_table
@@ -121,12 +121,12 @@ PLUGIN_WORDS = ["the", "und", "les", "que"]
 
 
 def word_scorer():
-    """A scorer for the hook: how often each label occurs in a text, at most ten times."""
-    return lambda texts: np.array([[min(10, (t or "").count(w)) for w in PLUGIN_WORDS] for t in texts], dtype=float)
+    """A scorer for the hook: how often each label occurs in a text."""
+    return lambda texts: np.array([[(t or "").count(w) for w in PLUGIN_WORDS] for t in texts], dtype=float)
 
 
 SQL_PLUGIN = ", ".join(
-    f"least(10, (length(text) - length(replace(text, '{w}', ''))) // {len(w)}) AS n{i}" for i, w in enumerate(PLUGIN_WORDS))
+    f"(length(text) - length(replace(text, '{w}', ''))) // {len(w)} AS n{i}" for i, w in enumerate(PLUGIN_WORDS))
 SQL_BEST = "greatest(n0, n1, n2, n3)"
 
 
@@ -141,6 +141,15 @@ def score_plugin(spark, d):
     return scored.select("doc_id", "category", F.round("confidence", 6).alias("confidence"))
 
 
+@R.add("sequence_scores")
+def sequence_scores(spark, d):
+    """Every document scored by the network over its first 512 words, trained on the training part."""
+    train, _ = split_texts(spark, d)
+    model = sequence.train_sequence(train)
+    scored = sequence.sequence_scores(language_texts(spark, d), model)
+    return scored.select("doc_id", "category", "confidence", "all_predictions")
+
+
 @R.add("scam_score", f"""
 SELECT doc_id, TRUE AS flag_follows, TRUE AS best_follows, has_email, has_phone, has_url FROM ({PARTS["scam_features"]})""")
 def scam_score(spark, d):
