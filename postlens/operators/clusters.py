@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import IndexToString, StringIndexer, VectorAssembler
@@ -128,17 +129,22 @@ def cluster_centres(df: DataFrame, cluster: str, features: Sequence[str]) -> Dat
     )
 
 
-def experience_tree(df: DataFrame, salary: str = "salary", experience: str = "experience",
-                    max_depth: int = 3, seed: int = 0) -> tuple[DataFrame, str]:
-    """Levels predicted by a tree trained on the rule, and the tree's rules as text."""
+def fit_experience_tree(df: DataFrame, salary: str = "salary", experience: str = "experience",
+                        max_depth: int = 3, seed: int = 0) -> PipelineModel:
+    """A tree trained on the rule of experience levels, from the rows' salary and experience."""
     ruled = df.withColumn("_rule", experience_level(F.col(experience)))
     index = StringIndexer(inputCol="_rule", outputCol="_y", stringOrderType="alphabetAsc").fit(ruled)
-    vectors = VectorAssembler(inputCols=[salary, experience], outputCol="_v").transform(index.transform(ruled))
+    assembler = VectorAssembler(inputCols=[salary, experience], outputCol="_v")
     tree = DecisionTreeClassifier(
         maxDepth=max_depth, seed=seed, featuresCol="_v", labelCol="_y", predictionCol="_p",
         probabilityCol="_pr", rawPredictionCol="_rp",
-    ).fit(vectors.select("_v", "_y"))
-    named = IndexToString(inputCol="_p", outputCol="experience_level", labels=index.labels)
-    return named.transform(tree.transform(vectors)).select(
-        *df.columns, "experience_level", F.col("_rule").alias("rule_level")
-    ), tree.toDebugString
+    ).fit(assembler.transform(index.transform(ruled)).select("_v", "_y"))
+    return PipelineModel([assembler, tree, IndexToString(inputCol="_p", outputCol="experience_level", labels=index.labels)])
+
+
+def experience_tree(df: DataFrame, salary: str = "salary", experience: str = "experience",
+                    max_depth: int = 3, seed: int = 0) -> tuple[DataFrame, str]:
+    """Levels predicted by a tree trained on the rule, and the tree's rules as text."""
+    model = fit_experience_tree(df, salary, experience, max_depth, seed)
+    levelled = model.transform(df.withColumn("_rule", experience_level(F.col(experience))))
+    return levelled.select(*df.columns, "experience_level", F.col("_rule").alias("rule_level")), model.stages[1].toDebugString

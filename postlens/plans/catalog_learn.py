@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from postlens.constants import SALARY_PATTERNS, SKILL_PATTERNS
+from postlens.constants import CANDIDATE_LABELS, HYPOTHESIS_TEMPLATE, SALARY_PATTERNS, SKILL_PATTERNS
 from postlens.operators import clusters, counts
 from postlens.operators.order import stratified_split
-from postlens.operators.zero_shot import zero_shot_top
-from postlens.plans import models, sequence
+from postlens.operators.zero_shot import zero_shot_predictions, zero_shot_top
+from postlens.plans import models, sequence, trees
 from postlens.plans.catalog_text import R as TEXT, SQL_COUNTS, gazetteer, sql_skills
 from postlens.plans.profile import analyze_postings as analyze, text_profile as profile
 from postlens.plans.registry import Registry, table, wide_table
@@ -41,6 +41,33 @@ def zero_shot(spark, d):
     return found.withColumn("confidence", F.round("confidence", 6))
 
 
+SQL_LABELS = ", ".join(f"({i}, '{x}')" for i, x in enumerate(CANDIDATE_LABELS))
+
+
+@R.add("zero_shot_labels", rf"""
+WITH counts AS ({SQL_COUNTS}),
+terms AS (SELECT term, ln((1.0 + (SELECT count(*) FROM documents)) / (1.0 + count(*))) + 1 AS idf FROM counts GROUP BY term),
+tw AS (SELECT doc_id, term, tf * idf AS w FROM counts JOIN terms USING (term)),
+tn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM tw GROUP BY doc_id),
+labels(place, label) AS (VALUES {SQL_LABELS}),
+lw AS (SELECT place, term, tf * idf AS w FROM
+  (SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(regexp_extract_all(lower(replace('{HYPOTHESIS_TEMPLATE}', '{{}}', label)), '[\p{{L}}\p{{N}}_]{{2,}}')) AS term FROM labels)
+   GROUP BY place, term) JOIN terms USING (term)),
+ln2 AS (SELECT place, sqrt(sum(w * w)) AS n FROM lw GROUP BY place),
+pairs AS (SELECT doc_id, place, round(sum((tw.w / tn.n) * (lw.w / ln2.n)), 9) AS cosine
+          FROM tw JOIN lw USING (term) JOIN tn USING (doc_id) JOIN ln2 USING (place) GROUP BY doc_id, place),
+every AS (SELECT doc_id, place, label, coalesce(cosine, 0) AS cosine FROM documents CROSS JOIN labels LEFT JOIN pairs USING (doc_id, place))
+SELECT doc_id, arg_min(label, (round(-cosine, 9), place)) AS category, round(exp(max(cosine)) / sum(exp(cosine)), 6) AS confidence,
+       string_agg(label, '|' ORDER BY cosine DESC, place) AS ranked
+FROM every GROUP BY doc_id""")
+def zero_shot_labels(spark, d):
+    """Every document against the caller's labels, each set into the hypothesis, all of them ranked."""
+    docs = wide_table(spark, d, "documents").select("doc_id", "text")
+    scored = zero_shot_predictions(docs, CANDIDATE_LABELS, "doc_id", HYPOTHESIS_TEMPLATE)
+    return scored.select("doc_id", "category", F.round("confidence", 6).alias("confidence"),
+                         F.array_join(F.transform("all_predictions", lambda p: p["label"]), "|").alias("ranked"))
+
+
 def language_texts(spark, d):
     return wide_table(spark, d, "documents").select("doc_id", "text", F.col("lang").alias("label"))
 
@@ -70,51 +97,28 @@ def scam_forest(spark, d):
     return models.train_forest(toxic_texts(spark, d), config=models.UNIGRAMS_1000, trees=100)
 
 
-SQL_REPORT = """
-WITH held AS (SELECT lang AS label, CAST(round(count(*) * 0.2) AS BIGINT) AS support FROM documents WHERE lang IS NOT NULL GROUP BY lang)
-SELECT label, support, TRUE AS valid FROM held
-UNION ALL SELECT unnest(['macro avg', 'weighted avg']), (SELECT CAST(sum(support) AS BIGINT) FROM held), TRUE"""
-
-
-def checked_report(report):
-    """Support per class, exact in the held-out part, and whether the measures agree with each other."""
-    p, r, f1 = F.col("precision"), F.col("recall"), F.col("f1")
-    shares = p.between(0, 1) & r.between(0, 1) & f1.between(0, 1)
-    follows = F.col("label").endswith(" avg") | (F.abs(f1 * (p + r) - 2 * p * r) < 1e-9)
-    return report.select("label", F.col("support").cast("bigint").alias("support"), (shares & follows).alias("valid"))
-
-
-@R.add("train_rf", SQL_REPORT)
+@R.add("train_rf")
 def train_rf(spark, d):
     """Report of the forest on the held-out texts."""
     _, test = split_texts(spark, d)
     scored = models.classify_postings(test, language_forest(spark, d))
-    return checked_report(counts.classification_report(scored, "label", "category"))
+    return counts.classification_report(scored, "label", "category")
 
 
-@R.add("train_lr", SQL_REPORT)
+@R.add("train_lr")
 def train_lr(spark, d):
     """Report of the regression on the held-out texts."""
     _, test = split_texts(spark, d)
     scored = models.classify_postings(test, language_regression(spark, d))
-    return checked_report(counts.classification_report(scored, "label", "category"))
+    return counts.classification_report(scored, "label", "category")
 
 
-@R.add("classify_postings", """
-SELECT doc_id, (SELECT count(DISTINCT lang) FROM documents)::INTEGER AS n_labels, TRUE AS sums_to_one, TRUE AS ranked, TRUE AS best_first
-FROM documents""")
+@R.add("classify_postings")
 def classify_postings(spark, d):
-    """Every document scored by a saved and reloaded model; the prediction's parts against each other."""
+    """Every document's category, confidence and ranked predictions, by a saved and reloaded model."""
     path = models.save_model(language_regression(spark, d), scratch_path(spark, "model"))
     scored = models.classify_postings(language_texts(spark, d), models.load_model(path))
-    every = F.transform("all_predictions", lambda p: p["score"])
-    first = F.col("all_predictions")[0]
-    return scored.select(
-        "doc_id", F.size("all_predictions").alias("n_labels"),
-        (F.abs(F.aggregate(every, F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums_to_one"),
-        (every == F.reverse(F.array_sort(every))).alias("ranked"),
-        ((first["label"] == F.col("category")) & (first["score"] == F.col("confidence"))).alias("best_first"),
-    )
+    return scored.select("doc_id", "category", "confidence", "all_predictions")
 
 
 PLUGIN_WORDS = ["the", "und", "les", "que"]
@@ -150,52 +154,33 @@ def sequence_scores(spark, d):
     return scored.select("doc_id", "category", "confidence", "all_predictions")
 
 
-@R.add("scam_score", f"""
-SELECT doc_id, TRUE AS flag_follows, TRUE AS best_follows, has_email, has_phone, has_url FROM ({PARTS["scam_features"]})""")
+@R.add("scam_score")
 def scam_score(spark, d):
-    """Scores of every document against each other, with features that need no word list."""
+    """Flag, probabilities and rule features of every document."""
     scored = models.scam_scores(wide_table(spark, d, "documents").select("doc_id", "text"), scam_forest(spark, d))
-    p = F.col("p_scam")
-    return scored.select(
-        "doc_id", (F.col("is_scam") == (p > 0.5)).alias("flag_follows"),
-        (F.abs(F.col("scam_probability") - F.greatest(p, 1 - p)) < 1e-9).alias("best_follows"),
-        *[F.col("features")[c].alias(c) for c in ("has_email", "has_phone", "has_url")],
-    )
+    return scored.select("doc_id", "is_scam", "scam_probability", "p_scam", "features.*")
 
 
-@R.add("feature_importance", "SELECT CAST(range AS INTEGER) AS rank, TRUE AS known, TRUE AS falling FROM range(1, 21)")
+@R.add("feature_importance")
 def feature_importance(spark, d):
-    """The twenty strongest terms: all from the texts, none stronger than the one before."""
-    top = models.feature_importance(scam_forest(spark, d))
-    before = F.lag("importance").over(Window.orderBy("rank"))
-    falling = F.coalesce(F.col("importance") <= before, F.lit(True)) & (F.col("importance") > 0)
-    return top.select("rank", F.col("term").rlike(r"^[\p{L}\p{N}_]{2,}$").alias("known"), falling.alias("falling"))
+    """The twenty strongest terms of the balanced forest on whole documents."""
+    return models.feature_importance(language_forest(spark, d))
 
 
-@R.add("model_summary", """
-SELECT unnest(['model_type', 'class_count', 'classes', 'can_predict', 'can_predict_proba', 'has_feature_importances']) AS property,
-       unnest(['RandomForestClassificationModel', (SELECT CAST(count(DISTINCT toxic) AS VARCHAR) FROM labels),
-               (SELECT string_agg(DISTINCT toxic, ', ' ORDER BY toxic) FROM labels), 'True', 'True', 'True']) AS value""")
+@R.add("model_summary")
 def model_summary(spark, d):
-    """The parts of a model's summary that follow from the tables and its kind."""
-    facts = ["model_type", "class_count", "classes", "can_predict", "can_predict_proba", "has_feature_importances"]
-    return models.model_summary(scam_forest(spark, d)).where(F.col("property").isin(facts))
+    """Every property of the balanced forest on whole documents."""
+    return models.model_summary(language_forest(spark, d))
 
 
-@R.add("analyze_postings", """
-SELECT doc_id, TRUE AS known, TRUE AS risk_follows, TRUE AS flag_follows, TRUE AS timed FROM documents""")
+@R.add("analyze_postings")
 def analyze_postings(spark, d):
-    """Every document analysed; what follows from other columns does."""
+    """Every document's category, confidence, scam fields, risk and indicators at one batch time."""
     rows = analyze(
-        wide_table(spark, d, "documents").select("doc_id", "text"), language_regression(spark, d), scam_forest(spark, d)
-    )
-    p = F.col("p_scam")
-    tier = F.when(p > 0.7, "red").when(p > 0.3, "orange").otherwise("green")
-    return rows.select(
-        "doc_id", ((F.length("category") == 2) & F.col("confidence").between(0, 1)).alias("known"),
-        (F.col("risk") == tier).alias("risk_follows"), (F.col("is_scam") == (p > 0.5)).alias("flag_follows"),
-        F.col("timestamp").isNotNull().alias("timed"),
+        wide_table(spark, d, "documents").select("doc_id", "text"), language_regression(spark, d), scam_forest(spark, d),
+        F.lit("2024-01-31 12:00:00"),
     )
+    return rows.drop("text")
 
 
 SQL_AMOUNTS = ", ".join(
@@ -230,40 +215,30 @@ def priced_lines(spark, d):
     )
 
 
-SQL_LEVELS = """
-SELECT 'entry-level' AS job_level, 0 AS level_cluster, TRUE AS rising, (SELECT count(*) FROM lineitem) AS all_rows
-UNION ALL SELECT 'mid-level', 1, TRUE, (SELECT count(*) FROM lineitem) UNION ALL SELECT 'senior-level', 2, TRUE, (SELECT count(*) FROM lineitem)"""
-
-
-def checked_levels(levelled):
-    """A row per level: its name, that its mean salary lies above the level before, and the rows of all levels."""
-    means = levelled.groupBy("job_level", "level_cluster").agg(F.avg("salary").alias("_m"), F.count("*").alias("_n"))
-    order = Window.orderBy("level_cluster")
-    rising = F.coalesce(F.col("_m") > F.lag("_m").over(order), F.lit(True))
-    return means.select("job_level", "level_cluster", rising.alias("rising"), F.sum("_n").over(Window.partitionBy()).alias("all_rows"))
-
-
-@R.add("kmeans_levels", SQL_LEVELS)
+@R.add("kmeans_levels")
 def kmeans_levels(spark, d):
-    return checked_levels(clusters.kmeans_levels(priced_lines(spark, d)))
+    """The level of every line by price and quantity."""
+    return clusters.kmeans_levels(priced_lines(spark, d))
 
 
-@R.add("kmeans_levels_scaled", SQL_LEVELS)
+@R.add("kmeans_levels_scaled")
 def kmeans_levels_scaled(spark, d):
-    return checked_levels(clusters.kmeans_levels_scaled(priced_lines(spark, d)))
+    """The same on standard scores."""
+    return clusters.kmeans_levels_scaled(priced_lines(spark, d))
 
 
-@R.add("salary_bands", """
-SELECT 'Band ' || range AS salary_band, TRUE AS above, TRUE AS one_range, (SELECT count(*) FROM orders) AS all_rows FROM range(3)""")
+@R.add("salary_bands")
 def salary_bands(spark, d):
-    """A row per band: above the band before, one range, and the rows of all bands."""
-    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("salary"))
-    bands = clusters.salary_bands(rows).groupBy("salary_band").agg(
-        F.min("salary").alias("_low"), F.max("salary").alias("_high"), F.count("*").alias("_n"),
-        F.min("salary_range").alias("_r1"), F.max("salary_range").alias("_r2"))
-    above = F.coalesce(F.col("_low") > F.lag("_high").over(Window.orderBy("salary_band")), F.lit(True))
-    return bands.select("salary_band", above.alias("above"), (F.col("_r1") == F.col("_r2")).alias("one_range"),
-                        F.sum("_n").over(Window.partitionBy()).alias("all_rows"))
+    """The band and its range of every order by total price."""
+    return clusters.salary_bands(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("salary")))
+
+
+@R.add("experience_rules")
+def experience_rules(spark, d):
+    """The experience tree's rules, a row per leaf, walked from its saved nodes."""
+    model = clusters.fit_experience_tree(priced_lines(spark, d))
+    labels = model.stages[-1].getLabels()
+    return trees.rules(trees.nodes_of(model, spark), ["salary", "experience"], labels)
 
 
 @R.add("experience_tree", """

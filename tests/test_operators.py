@@ -331,3 +331,13 @@ def test_windows_against_brute_force(spark):
     at = lambda xs, x: sum(v <= x for v in xs) / len(xs)
     want = [max(abs(at(ref, x) - at(vs, x)) for x in [*ref, *vs]) for vs in cur.values()]
     assert got == pytest.approx(want)
+
+
+def test_label_index_in_parts_gives_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "fix the wiring and the soup"), (2, "soup soup wiring"), (3, "zzz"), (4, None), (5, "")], "id int, text string")
+    labels = ["wiring", "soup", "the soup", "none of these"]
+    whole = zero_shot.zero_shot_predictions(docs, labels, "id", "{}").orderBy("id").collect()
+    monkeypatch.setattr(zero_shot, "INDEX_ROWS", 1)
+    assert zero_shot.zero_shot_predictions(docs, labels, "id", "{}").orderBy("id").collect() == whole
+    assert all(len(r.all_predictions) == 4 for r in whole)
+    assert (whole[2].category, whole[2].confidence) == ("wiring", 0.25) and whole[1].category == "soup"

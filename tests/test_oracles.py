@@ -6,8 +6,8 @@ from oracle import compare, connect
 from postlens.plans import catalog
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
-# these train on four classes for minutes; tests/oracle.py runs them
-SLOW = {"train_rf", "train_lr"}
+# these train for a minute each; test_learned_queries.py runs them with less work
+SLOW = {"train_rf", "train_lr", "feature_importance", "model_summary", "analyze_postings", "scam_score"}
 
 
 @pytest.fixture(scope="module")
