@@ -112,12 +112,14 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 @R.add("op8_token_counts")
 def op8_token_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents as flat token files, then one row per document found in them."""
-    files = scratch_path(spark, "flat")
-    token_counts.write_flat(table(spark, folder, "documents"), BPE_FILE, files, END_OF_TEXT)
+    """The documents as flat token files, then one row per document found in them, with its id."""
+    files, docs = scratch_path(spark, "flat"), table(spark, folder, "documents")
+    token_counts.write_flat(docs, BPE_FILE, files, END_OF_TEXT)
     found = token_counts.count_tokens(spark, files, END_OF_TEXT)
     shard = F.regexp_extract("file", r"part-(\d+)", 1).cast("bigint")
-    return found.select(shard.alias("shard"), "doc_no", "start", "n_tokens", "ended")
+    counted = found.select(shard.alias("shard"), "doc_no", "start", "n_tokens", "ended")
+    return token_counts.written_places(docs).join(counted, ["shard", "doc_no"]).select(
+        "doc_id", "shard", "doc_no", "start", "n_tokens", "ended")
 
 
 @R.add("op9_quality_classifier")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import base64
 import functools
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,8 +60,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def is_random(run: str, codec: tiktoken.Encoding, max_ratio: float) -> bool:
-    """Whether a token is spent on every few characters; capitals may also be read as small letters."""
-    if DIGEST.match(run) and len(run) in DIGEST_LENGTHS or IDENTIFIERS.fullmatch(run):
+    """Whether a token is spent on every few characters; capitals may also be read as small letters.
+
+    Digests, identifiers and rules of one or two characters are not.
+    """
+    if DIGEST.match(run) and len(run) in DIGEST_LENGTHS or IDENTIFIERS.fullmatch(run) or len(set(run)) < 3:
         return False
     forms = [run, run.lower()] if run.isupper() else [run]
     return all(len(run) <= max_ratio * len(codec.encode_ordinary(form)) for form in forms)
@@ -72,27 +76,56 @@ def random_spans(text: str, codec: tiktoken.Encoding, max_ratio: float) -> list[
     A run is decided whole, or else by its segments between slashes; after a dot or in
     an address (``://``) only by these. Host names are no candidates.
     """
-    found, hosts = [], None
+    found, hosts, starts = [], None, []
     for match in CANDIDATE.finditer(text):
         start, run = match.start(), match.group()
         if hosts is None:
             hosts = [m.span(1) for m in HOST.finditer(text)]
+            starts = [a for a, _ in hosts]
         address = run.startswith("//") or "/" in run and text[start - 1:start] == "."
         spans = [] if address else [(start, match.end())]
         if "/" in run:
             spans += [(start + m.start(), start + m.end()) for m in SEGMENT.finditer(run)]
         for one, end in spans:
-            if found and one < found[-1][2] or any(a <= one and end <= b for a, b in hosts):
+            host = bisect_right(starts, one) - 1  # the last that starts no later
+            if found and one < found[-1][2] or host >= 0 and end <= hosts[host][1]:
                 continue
             if is_random(text[one:end], codec, max_ratio):
                 found.append((one, len(BASE), end))
     return found
 
 
+REST = 12
+
+
 def scan(text: str, codec: tiktoken.Encoding, max_ratio: float) -> list[tuple[int, int, int]]:
-    """All spans by start, then kind; a random string inside or across a base span adds nothing."""
+    """All spans by start, then kind; of a random string that meets base spans, what lies outside of them.
+
+    Both lists are sorted and read side by side. The rest of such a string counts if its
+    parts, put together, are at least ``REST`` characters and random too.
+    """
     base = base_spans(text)
-    extra = [s for s in random_spans(text, codec, max_ratio) if not any(s[0] < e and b < s[2] for b, _, e in base)]
+    covered: list[list[int]] = []  # the base spans, those that touch or overlap as one
+    for start, _, end in base:
+        if covered and start <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], end)
+        else:
+            covered.append([start, end])
+    extra, at = [], 0
+    for start, kind, end in random_spans(text, codec, max_ratio):
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        rest, place, k = [], start, at
+        while k < len(covered) and covered[k][0] < end:
+            rest.append((place, kind, max(place, covered[k][0])))
+            place, k = covered[k][1], k + 1
+        if k == at:
+            extra.append((start, kind, end))
+            continue
+        rest = [r for r in [*rest, (place, kind, end)] if r[0] < r[2]]
+        joined = "".join(text[a:b] for a, _, b in rest)
+        if len(joined) >= REST and is_random(joined, codec, max_ratio):
+            extra += rest
     return sorted(base + extra)
 
 

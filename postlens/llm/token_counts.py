@@ -22,15 +22,15 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, width:
                text_col: str = "text") -> None:
     """Write the ids of all texts as flat files of little-endian ids of ``width`` bytes.
 
-    Every document ends with ``end_id``; a null or empty text is that id alone. The
-    line separator of Spark's text writer is the end id, so any store Spark writes to
+    Every document ends with ``end_id``; a null or empty text is that id alone. Strings
+    of special tokens in a text are ordinary text, so they end no document. The line separator of Spark's text writer is the end id, so any store Spark writes to
     will do. An id that does not fit ``width`` is an error.
     """
     kind = {2: "<u2", 4: "<u4"}[width]
 
     @F.arrow_udf("binary")
     def flat(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec, most = encoder(tokenizer), 1 << 8 * width
+        codec, most = encoder(tokenizer, ordinary=True), 1 << 8 * width
         def narrow(packed: bytes) -> bytes:
             ids = np.frombuffer(packed, "<u4")
             if len(ids) and int(ids.max()) >= most:
@@ -45,6 +45,16 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, width:
     raw.write.option("encoding", "ISO-8859-1").option("lineSep", end).text(folder)
 
 
+def written_places(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``(id_col, shard, doc_no)``: where ``write_flat`` puts each document, for ids beside the counts.
+
+    ``shard`` is the number in a file's name. It is read off the partitions of ``docs``, so
+    these have to be the same in both plans, as those of files and written tables are.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return docs.select(id_col, F.spark_partition_id().cast("bigint").alias("shard"), place.alias("doc_no"))
+
+
 def block_ends(spark: SparkSession, folder: str, end_id: int, width: int = 2, block: int = 1 << 18) -> DataFrame:
     """``(file, block, n, ends)``: ids in a block, and where in it the end id stands."""
     kind = {2: "<u2", 4: "<u4"}[width]

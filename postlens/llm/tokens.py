@@ -32,6 +32,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 # a space with white space before it, and white space or the end after it
 LOOSE = re.compile(r"\s (?:\s|\Z)")
 LOOSE_END = re.compile(r" (?:\s|\Z)")
+# white space of the word pattern; it steps back over a run, so very long ones are cut off before it
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,13 +69,15 @@ def pieces(text: str) -> list[str]:
     parts = text.split(" ")
     if not (LOOSE_END.search(text) and LOOSE.search(text)):
         return parts
-    out = [parts[0]]
+    out, run = [], parts[:1]
     for part in parts[1:]:
         # white space on both sides of the cut: one run, not to be parted
-        if (not out[-1] or out[-1][-1].isspace()) and (not part or part[0].isspace()):
-            out[-1] += " " + part
+        if (not run[-1] or run[-1][-1].isspace()) and (not part or part[0].isspace()):
+            run.append(part)
         else:
-            out.append(part)
+            out.append(" ".join(run))
+            run = [part]
+    out.append(" ".join(run))
     return out
 
 
@@ -94,11 +98,14 @@ class Remembered(dict):
 
 
 class PieceEncoder:
-    """Packed ids of texts; remembers at most ``limit`` pieces at the start of texts, and as many after a space."""
+    """Packed ids of texts; remembers at most ``limit`` pieces at the start of texts, and as many after a space.
 
-    def __init__(self, path: str, limit: int = 100_000):
-        self.path = path
-        self.special = [entry["content"] for entry in tokenizer_file(path)[0]["added_tokens"]]
+    With ``ordinary`` the strings of special tokens are text like any other.
+    """
+
+    def __init__(self, path: str, limit: int = 100_000, ordinary: bool = False):
+        self.path, self.ordinary = path, ordinary
+        self.special = [] if ordinary else [entry["content"] for entry in tokenizer_file(path)[0]["added_tokens"]]
         self.ranks = rank_encoding(path)
         self.known = Remembered(limit), Remembered(limit)
 
@@ -107,11 +114,22 @@ class PieceEncoder:
         made = Tokenizer.from_file(self.path)
         made.no_truncation()
         made.no_padding()
+        made.encode_special_tokens = self.ordinary
         return made
 
+    def _by_ranks(self, text: str) -> list[int]:
+        out, at = [], 0
+        for run in LONG_BLANK.finditer(text):
+            # the last character of a run belongs to the word that follows
+            end = run.end() - (run.end() < len(text))
+            out += self.ranks.encode_ordinary(text[at:run.start()])
+            out += self.ranks._encode_single_piece(text[run.start():end])
+            at = end
+        return out + self.ranks.encode_ordinary(text[at:])
+
     def _encode(self, texts: list[str]) -> list[bytes]:
         if self.ranks and not any(string in text for string in self.special for text in texts):
-            return [array("I", self.ranks.encode_ordinary(text)).tobytes() for text in texts]
+            return [array("I", self._by_ranks(text)).tobytes() for text in texts]
         if self.ranks and len(texts) > 1:
             return [self._encode([text])[0] for text in texts]
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
@@ -133,8 +151,8 @@ class PieceEncoder:
 
 
 @functools.cache
-def encoder(path: str) -> PieceEncoder:
-    return PieceEncoder(path)
+def encoder(path: str, ordinary: bool = False) -> PieceEncoder:
+    return PieceEncoder(path, ordinary=ordinary)
 
 
 def in_slices(texts: list[str], chars: int = 2_000_000) -> Iterator[list[str]]:

@@ -43,3 +43,29 @@ def test_letters_only_and_hyphenated_keys_are_decided_by_tokens():
 ])
 def test_words_and_hosts_are_not_secrets(text):
     assert not found(text)
+
+
+def spans(text):
+    return [text[a:b] for a, _, b in secrets.scan(text, secrets.encoding(RANKS), 2.1)]
+
+
+def test_the_rest_of_a_string_around_a_base_span():
+    text = f"key {KEY}0123456789abcdef0123456789Qw end"
+    assert spans(text) == [f"{KEY[:-1]}", "d0123456789abcdef0123456789", "Qw"]
+    # too little besides the base span
+    assert spans("id abc-0123456789abcdef01234567-x end") == ["0123456789abcdef01234567"]
+
+
+def test_rules_of_one_or_two_characters_are_none():
+    assert not spans("q" * 5000) and not spans("xX" * 40)
+
+
+def test_very_many_spans_end_soon():
+    import time
+
+    draw = random.Random(1)
+    keys = " ".join("".join(draw.choices(string.ascii_letters + string.digits, k=32)) + " " + "".join(draw.choices("0123456789abcdef", k=30)) for _ in range(40_000))
+    start = time.time()
+    found_ = secrets.scan(keys, secrets.encoding(RANKS), 2.1)
+    assert len(found_) > 70_000 and time.time() - start < 20
+    assert all(a[0] <= b[0] for a, b in zip(found_, found_[1:]))

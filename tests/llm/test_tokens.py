@@ -1,5 +1,6 @@
 import collections
 import random
+import time
 import zlib
 
 import brute
@@ -7,6 +8,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from postlens.llm import bpe, packing, token_counts
+from postlens.llm.catalog import queries
 from postlens.llm.tokens import PieceEncoder, in_slices, pieces
 from postlens.session import scratch_path
 from tokenizers import Tokenizer
@@ -180,14 +182,9 @@ def test_token_counts_across_blocks(spark, edge, edge_texts, library, block):
         token_counts.write_flat(folder_rows, FILE, folder, 50256)
         edge_texts = {i: edge_texts[i] for i in (4, 5, 7, 15, 18)}
     rows = token_counts.count_tokens(spark, folder, 50256, block=block).collect()
-    want = collections.Counter()
-    for text in edge_texts.values():
-        run = 0
-        for i in library.encode(text or "", add_special_tokens=False).ids + [50256]:
-            if i == 50256:
-                want[run] += 1
-                run = -1
-            run += 1
+    plain = Tokenizer.from_file(FILE)
+    plain.encode_special_tokens = True  # their strings end no document
+    want = collections.Counter(len(plain.encode(text or "", add_special_tokens=False).ids) for text in edge_texts.values())
     assert collections.Counter(r["n_tokens"] for r in rows) == want and all(r["ended"] for r in rows)
     for file in {r["file"] for r in rows}:
         own = sorted((r["doc_no"], r["start"], r["n_tokens"]) for r in rows if r["file"] == file)
@@ -209,3 +206,39 @@ def test_no_documents_no_counts(spark, empty):
     folder = scratch_path(spark, "flat-test")
     token_counts.write_flat(empty, FILE, folder, 50256)
     assert token_counts.count_tokens(spark, folder, 50256).count() == 0
+
+
+def test_counts_by_document(spark, data, documents):
+    rows = queries()["op8_token_counts"](spark, data).collect()
+    plain = Tokenizer.from_file(FILE)
+    plain.encode_special_tokens = True
+    assert {r["doc_id"]: r["n_tokens"] for r in rows} == {i: len(plain.encode(t or "", add_special_tokens=False).ids) for i, t in documents.items()}
+    assert len(rows) == len(documents) and all(r["ended"] for r in rows)
+
+
+def test_end_of_text_in_a_text_ends_nothing(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "c")], "doc_id bigint, text string").coalesce(1)
+    folder = scratch_path(spark, "flat-test")
+    token_counts.write_flat(docs, FILE, folder, 50256)
+    found = token_counts.count_tokens(spark, folder, 50256)
+    assert found.count() == 2
+    places = token_counts.written_places(docs).join(found, "doc_no").collect()
+    assert {r["doc_id"] for r in places} == {1, 2}
+
+
+LONG_RUNS = ["\n" * 60_000, "a" + "\n" * 60_000 + "b", " " * 60_000 + "x", "a" + " \t" * 30_000, "a" + "\u3000" * 25_000 + " word" + "\r\n" * 25_000 + "'s"]
+
+
+@pytest.mark.parametrize("text", LONG_RUNS)
+def test_long_white_space_as_the_library(library, text):
+    want = library.encode(text, add_special_tokens=False).ids
+    for codec in (PieceEncoder(FILE), bpe.TrieEncoder(FILE)):
+        assert list(np.frombuffer(codec.encode([text])[0], "<u4")) == want
+
+
+@pytest.mark.parametrize("text", ["\n" * 1_500_000, " " * 1_500_000, "x " * 500_000 + " " * 1_000_000, "a\n" * 700_000])
+def test_very_long_white_space_ends_soon(text):
+    start = time.time()
+    for codec in (PieceEncoder(FILE), bpe.TrieEncoder(FILE)):
+        assert len(codec.encode([text])[0])
+    assert time.time() - start < 30
