@@ -57,6 +57,18 @@ def html_entities(spark, d):
     return wide_table(spark, d, "pages").select("page_id", html.visible_text(page).alias("text"))
 
 
+QUOTED_HEAD = """<a title="a>b" href='x?a=1&amp;b=2'>y</a> <i data-x='>'>t</i><script>a</style>b</script>c<style>d</script></style> e<p don't>it's</p> """
+
+
+@R.add("html_quoted_tags", f"""
+SELECT page_id, trim('y tc eit''s ' || text) AS by_pattern, trim('y tc eit''s ' || text) AS by_tree FROM (SELECT page_id, {SQL_VISIBLE} AS text FROM pages)""")
+def html_quoted_tags(spark, d):
+    """Quoted angle brackets and mixed script and style ends before every page, by both text forms."""
+    page = F.concat(F.lit(QUOTED_HEAD), F.col("html"))
+    return wide_table(spark, d, "pages").select(
+        "page_id", html.visible_text(page).alias("by_pattern"), html.visible_text_tree(page).alias("by_tree"))
+
+
 SQL_ANCHORS = rf"""
 SELECT page_id, url, unnest(range(0, len(h))) AS pos, unnest(h) AS raw, unnest(t) AS inner_html
 FROM (SELECT page_id, url, regexp_extract_all(body, '(?is)<a\s([^>]*)>(.*?)</a>', 1) AS h,

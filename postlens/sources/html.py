@@ -18,10 +18,12 @@ from postlens.sources.tree import parse_html, visible_lines
 NAMED = {name: text for name, text in html5.items() if name.endswith(";")} | {"nbsp;": " "}
 REFERENCE = r"&((?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);)"
 COMMENT = r"(?s)<!--.*?-->"
-HIDDEN_BLOCK = r"(?is)<(script|style)\b.*?</(script|style)>"
-TAG = r"(?s)<!--.*?-->|<![^>]*>|<[^>]*>"
+HIDDEN_BLOCK = r"(?is)<(script|style)\b.*?</\1\s*>"
+# what stands between the name and the end of a tag: a quoted value may hold an angle bracket
+INSIDE = r"""(?>[^>"'=]+|=\s*"[^"]*"|=\s*'[^']*'|["'=])*+"""
+TAG = rf"(?s)<!--.*?-->|<![^>]*>|<{INSIDE}>"
 GAP = r"\s*[\r\n]+\s*|\s{2,}"
-ANCHOR = r"(?is)<a\s([^>]*)>(.*?)</a>"
+ANCHOR = rf"(?is)<a\s({INSIDE})>(.*?)</a>"
 
 
 def _character(name: Column) -> Column:
@@ -122,11 +124,9 @@ def html_links(pages: DataFrame, key: str = "page_id", html: str = "html", base:
     attributes = F.col("a.attributes")
     href = unescape(F.trim(_attribute(attributes, "href")))
     hidden = attributes.rlike(r"(?i)(^|\s)hidden(\s|=|$)|display\s*:\s*none|visibility\s*:\s*hidden")
-    links = rows.select(
-        *keep, "pos",
-        strip(unescape(F.regexp_replace("a.inner", TAG, ""))).alias("text"),
-        href.alias("href"), (~hidden).alias("visible"),
-    ).where((F.col("href") != "") & ~F.col("href").startswith("#"))
+    # made by a generator: the optimizer would copy the decoding into every condition on text or address
+    made = F.struct(strip(unescape(F.regexp_replace("a.inner", TAG, ""))).alias("text"), href.alias("href"), (~hidden).alias("visible"))
+    links = rows.select(*keep, "pos", F.inline(F.array(made))).where((F.col("href") != "") & ~F.col("href").startswith("#"))
     if not base:
         return links
     return links.select(key, "pos", "text", resolve(F.col(base), F.col("href")).alias("href"), "visible")

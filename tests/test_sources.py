@@ -207,3 +207,17 @@ def test_store_options_leave_types_to_the_dialect():
     assert stores.jdbc_options("jdbc:postgresql://h/d") == {
         "url": "jdbc:postgresql://h/d", "dbtable": "classified_jobs", "stringtype": "unspecified"}
     assert "createTableColumnTypes" not in stores.jdbc_options("jdbc:x")
+
+
+def test_angle_brackets_in_quotes_and_mixed_ends(spark):
+    pages = [
+        '<a title="a>b" href="x">y</a> t', "<script>a</style>b</script>c", "<style>a</script>b</style >c", "<b class='>' x=\">\">z</b>",
+        "<p don't>it's</p>", '<a href=x title="q>">one</a><a href="y>z">two</a>', "<" * 3000 + "a", '<i x="' * 300,
+    ]
+    df = spark.createDataFrame([(i, h, "http://h/") for i, h in enumerate(pages)], "page_id int, html string, url string")
+    rows_ = df.orderBy("page_id").select(html.visible_text(F.col("html")).alias("a"), html.visible_text_tree(F.col("html")).alias("b")).collect()
+    for r in rows_[:6]:
+        assert r["a"] == r["b"]
+    assert [r["a"] for r in rows_[:6]] == ["y t", "c", "c", "z", "it's", "onetwo"]
+    links = html.html_links(df).orderBy("page_id", "pos").collect()
+    assert [(r["text"], r["href"]) for r in links] == [("y", "http://h/x"), ("one", "http://h/x"), ("two", "http://h/y>z")]
