@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from postlens import constants as C
 from postlens.functions import parse, signals, text as X
-from postlens.operators import mentions, terms
+from postlens.operators import mentions, tagger, terms
 from postlens.operators.scaling import unrolled
 from postlens.plans.registry import Registry, table, wide_table
 
@@ -412,6 +412,14 @@ def entities(spark, d):
     return found.select("doc_id", *[F.array_join(c, "|").alias(c) for c in found.columns if c != "doc_id"])
 
 
+@R.add("entities_tagged")
+def entities_tagged(spark, d):
+    """Names found by form and neighbours, by a tagger trained on the texts as the gazetteer marks them."""
+    docs = documents(spark, d)
+    found = tagger.tagged_names(docs, tagger.train_tagger(docs, gazetteer(spark, d), "doc_id"))
+    return found.select("doc_id", F.array_join("locations", "|").alias("locations"), F.array_join("organizations", "|").alias("organizations"))
+
+
 @R.add("key_points", f"""
 WITH {SQL_GAZETTEER},
 cut AS (SELECT doc_id, unnest(s) AS sentence, unnest(range(1, len(s) + 1)) AS place

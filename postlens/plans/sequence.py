@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlens.operators.sums import SUMS, part_sum, tree_sum
 from postlens.plans.models import plugin_scores
 from postlens.session import written
 
@@ -89,30 +90,6 @@ def _numbered(settings: Network) -> Callable:
     return run
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sum per group of parts, added in the order of the parts."""
-    total: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for group, sums in zip(batch.column("g").to_pylist(), batch.column("sums").to_pylist()):
-            own = np.frombuffer(sums)
-            total[group] = total[group] + own if group in total else own
-    yield pa.RecordBatch.from_pylist([{"g": g, "sums": s.tobytes()} for g, s in sorted(total.items())],
-                                     pa.schema([("g", pa.int32()), ("sums", pa.binary())]))
-
-
-def _tree_sum(parts: DataFrame, count: int) -> np.ndarray:
-    """The sum of ``(g, sums)``: in as many groups as the root of ``count`` first, then these on the driver."""
-    groups = max(1, int(count ** 0.5))
-    dealt = parts.select(F.pmod("g", F.lit(groups)).alias("g"), F.col("g").alias("part"), "sums")
-    dealt = dealt.repartition(groups, "g").sortWithinPartitions("g", "part").select("g", "sums")
-    rows = sorted((r["g"], r["sums"]) for r in dealt.mapInArrow(_summed, "g int, sums binary").collect())
-    total = np.zeros(0)
-    for _, sums in rows:
-        own = np.frombuffer(bytes(sums))
-        total = own if not len(total) else total + own
-    return total
-
-
 def train_sequence(df: DataFrame, text: str = "text", label: str = "label", settings: Network = Network()) -> SequenceModel:
     """The network fitted on all rows with a text and a label, by Adam steps over gradient sums."""
     spark = df.sparkSession
@@ -134,8 +111,6 @@ def train_sequence(df: DataFrame, text: str = "text", label: str = "label", sett
         sent = spark.sparkContext.broadcast(weights)
 
         def add_up(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
             now, total = cut(sent.value), None
             for batch in batches:
                 own = [np.asarray(w, np.int64) for w in batch.column("words").to_pylist()]
@@ -143,10 +118,9 @@ def train_sequence(df: DataFrame, text: str = "text", label: str = "label", sett
                     sums = gradient(own, np.array(batch.column("y").to_pylist()), *now)
                     total = sums if total is None else total + sums
             if total is not None:
-                yield pa.RecordBatch.from_pylist([{"g": TaskContext.get().partitionId(), "sums": total.tobytes()}],
-                                                 pa.schema([("g", pa.int32()), ("sums", pa.binary())]))
+                yield part_sum(total)
 
-        sums = _tree_sum(rows.mapInArrow(add_up, "g int, sums binary"), parts)
+        sums = tree_sum(rows.mapInArrow(add_up, SUMS), parts)
         sent.destroy()
         slope = sums[:-2] / sums[-1]
         first, second = 0.9 * first + 0.1 * slope, 0.999 * second + 0.001 * slope ** 2
