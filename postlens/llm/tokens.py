@@ -33,7 +33,8 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 LOOSE = re.compile(r"\s (?:\s|\Z)")
 LOOSE_END = re.compile(r" (?:\s|\Z)")
 # white space of the word pattern; it steps back over a run, so very long ones are cut off before it
-LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{20000,}")
+LONG = 20_000
+LONG_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG)
 
 
 def byte_letters() -> dict[str, int]:
@@ -118,6 +119,8 @@ class PieceEncoder:
         return made
 
     def _by_ranks(self, text: str) -> list[int]:
+        if len(text) < LONG:
+            return self.ranks.encode_ordinary(text)
         out, at = [], 0
         for run in LONG_BLANK.finditer(text):
             # the last character of a run belongs to the word that follows
