@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from postlens.constants import LEVELS_ENTRY
 from postlens.functions.signals import experience_level, rupee_range
+from postlens.operators.bands import band_cuts, band_of
 from postlens.operators.scaling import small_side
 
 
@@ -111,11 +112,14 @@ def cluster_ranges(df: DataFrame, cluster: str, value: str) -> DataFrame:
     return df.join(small_side(labelled, "ranges"), cluster, "left")
 
 
-def salary_bands(df: DataFrame, salary: str = "salary", k: int = 3, seed: int = 0) -> DataFrame:
-    """Adds ``salary_band`` (0 is the lowest) and ``salary_range``; null below k rows with a salary."""
+def salary_bands(df: DataFrame, salary: str = "salary", k: int = 3) -> DataFrame:
+    """Adds ``salary_band`` (0 is the lowest) and ``salary_range``; null below k rows with a salary.
+
+    The bands are the best ones possible, so no start or seed enters them.
+    """
     if not _enough(df, [salary], k):
         return df.withColumns({"salary_band": F.lit(None).cast("string"), "salary_range": F.lit(None).cast("string")})
-    banded = assign_centres(df, [salary], fit_centres(df, [salary], k, seed), "_band")
+    banded = df.withColumn("_band", band_of(F.col(salary), band_cuts(df, salary, k)))
     named = cluster_ranges(banded, "_band", salary)
     return named.withColumn("salary_band", F.concat(F.lit("Band "), F.col("_band"))).select(
         *df.columns, "salary_band", "salary_range"

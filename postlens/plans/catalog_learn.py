@@ -227,10 +227,24 @@ def kmeans_levels_scaled(spark, d):
     return clusters.kmeans_levels_scaled(priced_lines(spark, d))
 
 
-@R.add("salary_bands")
+@R.add("salary_bands", """
+WITH c AS (SELECT o_totalprice AS v, count(*)::DOUBLE AS c FROM orders GROUP BY 1),
+z AS (SELECT v, c, v - (SELECT sum(c * v) / sum(c) FROM c) AS x FROM c),
+p AS (SELECT v, row_number() OVER o AS i, sum(c) OVER o AS w, sum(c * x) OVER o AS s1, sum(c * x * x) OVER o AS s2 FROM z WINDOW o AS (ORDER BY v)),
+two AS (SELECT j.i AS j, min(a.s2 - a.s1 * a.s1 / a.w + j.s2 - a.s2 - (j.s1 - a.s1) * (j.s1 - a.s1) / (j.w - a.w)) AS d,
+          arg_min(a.v, a.s2 - a.s1 * a.s1 / a.w + j.s2 - a.s2 - (j.s1 - a.s1) * (j.s1 - a.s1) / (j.w - a.w)) AS lo
+        FROM p a JOIN p j ON a.i < j.i GROUP BY j.i),
+best AS (SELECT arg_min(lo, d + c) AS lo, arg_min(v, d + c) AS hi FROM (
+          SELECT two.lo, two.d, p.v, (e.s2 - p.s2 - (e.s1 - p.s1) * (e.s1 - p.s1) / (e.w - p.w)) AS c
+          FROM two JOIN p ON p.i = two.j JOIN (SELECT * FROM p ORDER BY i DESC LIMIT 1) e ON p.i < e.i)),
+banded AS (SELECT o_orderkey, o_totalprice AS salary, CASE WHEN o_totalprice <= lo THEN 0 WHEN o_totalprice <= hi THEN 1 ELSE 2 END AS b FROM orders, best)
+SELECT o_orderkey, salary, 'Band ' || b AS salary_band, min(salary) OVER w AS lowest, max(salary) OVER w AS highest
+FROM banded WINDOW w AS (PARTITION BY b)""")
 def salary_bands(spark, d):
     """The band and its range of every order by total price."""
-    return clusters.salary_bands(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("salary")))
+    found = clusters.salary_bands(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("salary")))
+    ends = found.groupBy("salary_band").agg(F.min("salary").alias("lowest"), F.max("salary").alias("highest"))
+    return found.select("o_orderkey", "salary", "salary_band").join(F.broadcast(ends), "salary_band")
 
 
 @R.add("experience_rules")
