@@ -386,3 +386,40 @@ def zscore(spark, d):
         "l_orderkey", "l_linenumber", F.round("l_quantity_z", 4).alias("l_quantity_z"),
         F.round("l_extendedprice_z", 4).alias("l_extendedprice_z"),
     )
+
+
+def scored_documents(spark, d):
+    """Documents with a category where they carry a label, and two scores of their length."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    near = F.col("n_chars") / (F.col("n_chars") + 1000)
+    return docs.select("doc_id", F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").alias("category"),
+                       F.array(F.lit("long"), F.lit("short")).alias("names"), F.array(near, 1 - near).alias("scores"))
+
+
+@R.add("classified_only", "SELECT doc_id, CASE quality WHEN 1 THEN 'good' ELSE 'poor' END AS category FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)")
+def classified_only(spark, d):
+    """Documents without a category are left out."""
+    return filters.classified_only(scored_documents(spark, d)).select("doc_id", "category")
+
+
+@R.add("prediction_map", "SELECT doc_id, round(n_chars / (n_chars + 1000), 6) AS long, round(1 - n_chars / (n_chars + 1000), 6) AS short FROM documents")
+def prediction_map(spark, d):
+    """The ranked predictions as a map from label to score."""
+    ranked = S.prediction(F.col("names"), F.col("scores"))["all_predictions"]
+    rows = scored_documents(spark, d).select("doc_id", S.prediction_map(ranked).alias("m"))
+    return rows.select("doc_id", *[F.round(F.col("m")[name], 6).alias(name) for name in ("long", "short")])
+
+
+@R.add("filter_band_label", "SELECT o_orderkey, o_totalprice AS salary FROM orders WHERE o_orderpriority = '1-URGENT'")
+def filter_band_label(spark, d):
+    rows = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("salary"), F.col("o_orderpriority").alias("salary_band"))
+    return filters.filter_band_label(rows, "1-URGENT").drop("salary_band")
+
+
+@R.add("append_labelled", """
+SELECT text, 'poor' AS label FROM documents JOIN labels USING (doc_id) WHERE quality = 0
+UNION ALL SELECT text, 'good' FROM documents JOIN labels USING (doc_id) WHERE quality = 1""")
+def append_labelled(spark, d):
+    """Training texts appended class by class."""
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    return lookup.append_labelled([(docs.where(F.col("quality") == 0), "poor"), (docs.where(F.col("quality") == 1), "good")])

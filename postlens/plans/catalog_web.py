@@ -6,14 +6,16 @@ from datetime import datetime
 
 from pyspark.sql import functions as F, types as T
 
+from postlens.constants import NOT_MENTIONED
 from postlens.functions import text as X
 from postlens.operators import filters
 from postlens.operators.scaling import unrolled
-from postlens.plans.catalog_text import SQL_SENTENCES, SQL_STRIP
+from postlens.plans.catalog_text import R as TEXT, SQL_SENTENCES, SQL_STRIP
 from postlens.plans.registry import Registry, table, wide_table
 from postlens.session import scratch_path
 from postlens.sinks import stores
 from postlens.sources import cards, html, rows
+from postlens.streaming import texts
 
 R = Registry()
 
@@ -161,6 +163,61 @@ def html_cards_source(spark, d):
     return cards.parsed_cards(cards.html_cards(wide_table(spark, d, "pages"), ARTICLE), "Indeed")
 
 
+@R.add("html_cards_function", R.oracles["html_cards"])
+def html_cards_function(spark, d):
+    """The same cards by a table function in SQL."""
+    cards.register_card_function(spark, LIST_ITEM, "listing_cards")
+    wide_table(spark, d, "pages").createOrReplaceTempView("stored_pages")
+    return spark.sql("SELECT page_id, c.* FROM stored_pages, LATERAL listing_cards(html) c")
+
+
+def order_pages(spark, d, layout, **values):
+    """A page per order with one card of the layout; a field without a value is left out."""
+    parts = [F.lit(f'<html><body><{layout.tag or "div"} class="{layout.cls}">')]
+    for spec in layout.fields:
+        tag = spec.tag or "p"
+        shown = F.concat(F.lit(f'<{tag} class="{spec.cls}"> '), values[spec.name], F.lit(f" </{tag}>"))
+        parts.append(F.coalesce(shown, F.lit("")))
+    page = F.concat(*parts, F.lit(f'</{layout.tag or "div"}></body></html>'))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("page_id"), page.alias("html"))
+
+
+def order_values():
+    number = F.col("o_orderkey").cast("string")
+    return {
+        "title": F.col("o_orderpriority"), "company": F.concat(F.lit("c"), F.col("o_custkey").cast("string")),
+        "location": F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")), "description": F.concat(F.lit("order "), number),
+        "salary": F.when(F.col("o_orderkey") % 4 > 0, F.concat(number, F.lit(" a year"))),
+        "experience": F.when(F.col("o_orderkey") % 5 > 0, F.lit("2 years")),
+    }
+
+
+SQL_CARD = """o_orderkey AS page_id, CAST(0 AS INTEGER) AS card, o_orderpriority AS title, 'c' || o_custkey AS company"""
+
+
+@R.add("cards_strict", f"""
+SELECT {SQL_CARD}, o_orderstatus AS location, 'order ' || o_orderkey AS description FROM orders WHERE o_orderkey % 3 > 0""")
+def cards_strict(spark, d):
+    """A card without one of its fields is dropped."""
+    return cards.html_cards(order_pages(spark, d, cards.JOB_POST_STRICT, **order_values()), cards.JOB_POST_STRICT)
+
+
+@R.add("cards_required_salary", f"""
+SELECT {SQL_CARD}, 'order ' || o_orderkey AS description, o_orderkey || ' a year' AS salary, '2 years' AS experience
+FROM orders WHERE o_orderkey % 4 > 0 AND o_orderkey % 5 > 0""")
+def cards_required_salary(spark, d):
+    return cards.html_cards(order_pages(spark, d, cards.JOB_TUPLE, **order_values()), cards.JOB_TUPLE)
+
+
+@R.add("cards_placeholder", f"""
+SELECT {SQL_CARD}, CASE WHEN o_orderkey % 3 > 0 THEN o_orderstatus ELSE 'Not mentioned' END AS location,
+       CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey || ' a year' ELSE 'Not mentioned' END AS salary, 'order ' || o_orderkey AS description
+FROM orders""".replace("Not mentioned", NOT_MENTIONED))
+def cards_placeholder(spark, d):
+    """Missing fields get the layout's placeholder."""
+    return cards.html_cards(order_pages(spark, d, cards.JOB_CARD, **order_values()), cards.JOB_CARD)
+
+
 def ocr_tokens_table(spark, d):
     """Document words as tokens; boxes and confidence follow from place and length."""
     words = F.regexp_extract_all("text", F.lit(r"(\S+)"), 1)
@@ -285,6 +342,26 @@ def sink_parquet(spark, d):
     return spark.read.parquet(path)
 
 
+@R.add("sink_counted", "SELECT count(*) AS rows, count(*) FILTER (WHERE value IS NULL) AS no_value, count(DISTINCT event_type) AS kinds FROM events")
+def sink_counted(spark, d):
+    """What a write counted on its way, beside the kinds read back."""
+    path = scratch_path(spark, "sink_counted")
+    seen = stores.counted_write(event_rows(spark, d), lambda rows: rows.write.parquet(path), no_value=F.count_if(F.col("value").isNull()))
+    kinds = spark.read.parquet(path).agg(F.count_distinct("event_type").alias("kinds"))
+    return kinds.select(F.lit(seen["rows"]).cast("bigint").alias("rows"), F.lit(seen["no_value"]).cast("bigint").alias("no_value"), "kinds")
+
+
+@R.add("stream_texts", TEXT.oracles["clean_text"])
+def stream_texts(spark, d):
+    """The documents as a stream of files, cleaned and written once, read back."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    folder, out, state = (scratch_path(spark, name) for name in ("stream_in", "stream_out", "stream_state"))
+    docs.write.parquet(folder)
+    arriving = texts.text_stream(spark, folder, docs.schema)
+    texts.run_available(arriving, lambda rows: texts.scored_texts(rows).select("doc_id", "clean"), out, state)
+    return spark.read.parquet(out)
+
+
 @R.add("records_json", SQL_EVENT_ROWS)
 def records_json(spark, d):
     """Rows to JSON records, parsed back."""

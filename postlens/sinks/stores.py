@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from postlens.constants import SNAPSHOT_STAMP, STORE_DATABASE, STORE_TABLE
 
@@ -118,23 +119,51 @@ def mongo_options(uri: str | None, database: str = STORE_DATABASE, collection: s
     return {"connection.uri": uri, "database": database, "collection": collection, **more}
 
 
+def counted_write(df: DataFrame, write: Callable[[DataFrame], None], **measures: Column) -> dict:
+    """Run ``write`` on ``df`` and return ``rows`` and the ``measures`` (aggregates) of what it wrote.
+
+    They are observed on the rows on their way, so the plan runs once. ``write`` has to
+    run ``df`` exactly once.
+    """
+    seen = Observation()
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows"), *[m.alias(name) for name, m in measures.items()]))
+    return seen.get
+
+
+def _moved(df: DataFrame, source: str, target: str | None) -> None:
+    """Put a written folder in the place of ``target``, or remove it."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path
+    files = path(source).getFileSystem(df.sparkSession._jsc.hadoopConfiguration())
+    if target is None:
+        files.delete(path(source), True)
+        return
+    files.delete(path(target), True)
+    if not files.rename(path(source), path(target)):
+        raise OSError(f"cannot move {source} to {target}")
+
+
 def save(df: DataFrame, kind: str, at: datetime | None = None, **options: str) -> bool:
     """Write by kind; an unknown kind raises. Nothing is written for no rows.
 
-    Returns whether rows were written. JDBC and document writes go partition by
-    partition from the executors.
+    Returns whether rows were written. Files are written beside their place, counted on
+    the way, and moved there only if there were rows; the plan runs once, and what stood
+    there stays if there were none. JDBC and document writes go partition by partition
+    from the executors; they would make their table for no rows too, so these are asked first.
     """
     if kind not in FORMATS:
         raise ValueError(f"unsupported store {kind!r}, use one of {', '.join(FORMATS)}")
+    if kind in ("json", "csv", "parquet"):
+        target = options["path"].rstrip("/")
+        if kind == "json":
+            target = f"{target}/jobs_{stamp(at)}"
+        writers = {"json": write_json, "csv": write_csv, "parquet": lambda rows, path: rows.write.parquet(path)}
+        beside = f"{target}.{uuid.uuid4().hex}"
+        written = counted_write(df, lambda rows: writers[kind](rows, beside))["rows"] > 0
+        _moved(df, beside, target if written else None)
+        return written
     if df.isEmpty():
         return False
-    if kind == "json":
-        write_snapshot(df, options["path"], at)
-    elif kind == "csv":
-        write_csv(df, options["path"])
-    elif kind == "parquet":
-        df.write.mode("overwrite").parquet(options["path"])
-    elif kind in ("jdbc", "postgres"):
+    if kind in ("jdbc", "postgres"):
         rows = store_rows(df, at or datetime.now())
         rows.write.format("jdbc").mode("append").options(**jdbc_options(**options)).save()
     else:
