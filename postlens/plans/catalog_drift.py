@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from postlens.operators import drift
+from postlens.operators import drift, sketches
 from postlens.operators.order import category_codes
 from postlens.plans.registry import Registry, table, wide_table
 from postlens.schemas import DRIFT_COLUMNS
-from postlens.session import scratch_path
+from postlens.session import scratch_path, written
 
 R = Registry()
 
@@ -252,3 +252,22 @@ def drift_by_window(spark, d):
     reference = events.where(F.expr(f"ts < {SPLIT}"))
     found = drift.drift_by_window(events, "ts", "value", reference, "1 day")
     return found.withColumn("statistic", F.round("statistic", 6))
+
+
+SKETCHED = ["l_quantity", "l_extendedprice", "l_discount"]
+
+
+@R.add("sketch_quantiles")
+def sketch_quantiles(spark, d):
+    """Quartiles and tails of the lines' numbers by flag, and over all flags from the merged sketches."""
+    by_flag = written(sketches.sketch_columns(table(spark, d, "lineitem"), SKETCHED, ["l_returnflag"]), "sketches")
+    whole = sketches.merged(by_flag).select(F.lit("all").alias("l_returnflag"), "column", "sketch")
+    return sketches.sketch_quantiles(by_flag.unionByName(whole), [0.01, 0.25, 0.5, 0.75, 0.99])
+
+
+@R.add("sketch_drift")
+def sketch_drift(spark, d):
+    """How far the distributions of returned lines lie from those of the others, from sketches."""
+    lines = table(spark, d, "lineitem")
+    sides = [sketches.sketch_columns(lines.where(c), SKETCHED) for c in (F.col("l_returnflag") != "R", F.col("l_returnflag") == "R")]
+    return sketches.sketch_gap(*sides)
