@@ -9,7 +9,7 @@ from postlens.constants import CANDIDATE_LABELS, HYPOTHESIS_TEMPLATE, SALARY_PAT
 from postlens.operators import clusters, counts
 from postlens.operators.order import stratified_split
 from postlens.operators.zero_shot import zero_shot_predictions, zero_shot_top
-from postlens.plans import models, sequence, trees
+from postlens.plans import models, open_vocabulary, sequence, trees
 from postlens.plans.catalog_text import R as TEXT, SQL_COUNTS, gazetteer, sql_skills
 from postlens.plans.profile import analyze_postings as analyze, text_profile as profile
 from postlens.plans.registry import Registry, table, wide_table
@@ -154,6 +154,14 @@ def sequence_scores(spark, d):
     return scored.select("doc_id", "category", "confidence", "all_predictions")
 
 
+@R.add("train_open_vocabulary")
+def train_open_vocabulary(spark, d):
+    """Report on the held-out texts of the regression over every single word, without a bound on the vocabulary."""
+    train, test = split_texts(spark, d)
+    model = open_vocabulary.train_open(train, "doc_id")
+    return counts.classification_report(open_vocabulary.score_open(test, model, "doc_id"), "label", "category")
+
+
 @R.add("scam_score")
 def scam_score(spark, d):
     """Flag, probabilities and rule features of every document."""

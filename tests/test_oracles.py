@@ -7,7 +7,7 @@ from postlens.plans import catalog
 
 QUERIES, ORACLES = catalog.queries(), catalog.oracles()
 # these train for a minute each; test_learned_queries.py runs them with less work
-SLOW = {"train_rf", "train_lr", "feature_importance", "model_summary", "analyze_postings", "scam_score"}
+SLOW = {"train_open_vocabulary", "train_rf", "train_lr", "feature_importance", "model_summary", "analyze_postings", "scam_score"}
 
 
 @pytest.fixture(scope="module")
