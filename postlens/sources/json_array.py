@@ -118,10 +118,11 @@ def split_states(fragments: DataFrame) -> DataFrame:
         F.first("first").over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("first"))
 
 
-def json_elements(spark: SparkSession, path: str) -> DataFrame:
+def json_elements(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
     """``(file, pos, element, listed)``: the texts of the elements of JSON arrays, ``pos`` from 0 in each file.
 
-    A file that holds no array is one element, not ``listed``. Splits follow ``spark.sql.files.*`` and never
+    Without ``numbered`` there is no ``pos`` and the files are read once less. A file that
+    holds no array is one element, not ``listed``. Splits follow ``spark.sql.files.*`` and never
     change the result. A file cut short gives its whole elements and the rest as a last one.
     """
     fragments = spark.read.option("lineSep", ",").text(path).select(
@@ -149,6 +150,8 @@ def json_elements(spark: SparkSession, path: str) -> DataFrame:
         whole = whole.select("file", "start", "n", "piece", "listed").unionByName(joined.select("file", "_at.start", "_at.n", "piece", "listed"))
     else:
         whole = pieces.select("file", "start", "n", "piece", "listed")
+    if not numbered:
+        return whole.select("file", F.col("piece").alias("element"), "listed")
     begun = whole.groupBy("file", "start").agg(F.count("*").alias("_c"), F.min("n").alias("_least"))
     before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     begun = begun.select("file", "start", (F.coalesce(F.sum("_c").over(before), F.lit(0)) - F.col("_least")).alias("_shift"))

@@ -26,7 +26,7 @@ def read_postings_json(spark: SparkSession, path: str, schema: T.StructType = BA
         rows = spark.read.schema(wider).option("columnNameOfCorruptRecord", broken).option("mode", "PERMISSIVE").json(path)
     else:
         parsed = F.from_json("element", wider, {"columnNameOfCorruptRecord": broken, "mode": "PERMISSIVE"})
-        rows = json_elements(spark, path).select(parsed.alias("_r")).where(F.col("_r").isNotNull()).select("_r.*")
+        rows = json_elements(spark, path, numbered=False).select(parsed.alias("_r")).where(F.col("_r").isNotNull()).select("_r.*")
     nothing = reduce(lambda a, b: a & b, [F.col(f.name).isNull() for f in schema.fields])
     return rows.where(~(F.col(broken).isNotNull() & nothing)).drop(broken)
 
