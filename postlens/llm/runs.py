@@ -12,7 +12,6 @@ distance, and its ends are then found word by word at that lag.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
