@@ -4,9 +4,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
-from postlens.functions import signals
 from postlens.operators import clusters, counts
 from postlens.plans import catalog, catalog_learn, models, trees
 
