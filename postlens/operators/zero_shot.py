@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from postlens.constants import CANDIDATE_LABELS, HYPOTHESIS_TEMPLATE
 from postlens.functions import scores as S
 from postlens.operators.scaling import fits
-from postlens.operators.terms import term_counts, vocabulary, weigh
+from postlens.operators.terms import counted_rows, repeats, term_counts, vocabulary, weigh, weigh_texts
 from postlens.session import written
 
 INDEX_ROWS = 1_000_000
@@ -37,13 +37,14 @@ def weighed_sides(texts: DataFrame, labels: DataFrame, key: str, label: str) ->
 
     Both sides are weighted by the vocabulary of the texts.
     """
-    counts = term_counts(texts, key)
+    repeated = repeats(texts, key)
+    counts = term_counts(texts, key) if repeated else counted_rows(texts, key)
     terms = vocabulary(counts, texts.agg(F.count("*").alias("n")))
     label_counts = term_counts(labels, label)
     raw = label_counts.join(terms, "term").withColumn("_w", F.col("tf") * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("_w") * F.col("_w")).over(Window.partitionBy(label)))
     index = written(raw.select(label, "term", (F.col("_w") / norm).alias("w")), "label_index")
-    weights = weigh(counts, terms, key).select(key, "term", "tfidf")
+    weights = (weigh(counts, terms, key) if repeated else weigh_texts(texts, terms, key)).select(key, "term", "tfidf")
     used = index.select("term").distinct()
     shared = weights.join(F.broadcast(used) if fits(used) else used, "term", "left_semi")
     # bounded by the terms of one text

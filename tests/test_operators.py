@@ -341,3 +341,30 @@ def test_label_index_in_parts_gives_the_same(spark, monkeypatch):
     assert zero_shot.zero_shot_predictions(docs, labels, "id", "{}").orderBy("id").collect() == whole
     assert all(len(r.all_predictions) == 4 for r in whole)
     assert (whole[2].category, whole[2].confidence) == ("wiring", 0.25) and whole[1].category == "soup"
+
+
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+
+
+def test_texts_are_weighed_where_they_lie(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "aa bb bb cc"), (2, "aa bb"), (3, "aa dd ee"), (4, None), (5, ""), (6, "x")], "id int, text string")
+    tables = terms.term_counts(docs, "id", ngram_max=2)
+    known = terms.vocabulary(tables, docs.agg(F.count("*").alias("n")))
+    want = {(r.id, r.term, r.tf): pytest.approx(r.tfidf) for r in terms.weigh(tables, known, "id").collect()}
+    whole = terms.tfidf(docs, "id", ngram_max=2)
+    assert shuffles(whole) == 0 and shuffles(terms.counted_rows(docs, "id", ngram_max=2)) == 0
+    assert {(r.id, r.term, r.tf): r.tfidf for r in whole.collect()} == want
+    # terms too rare to be sent are joined
+    monkeypatch.setattr(terms, "HOT_TERMS", 2)
+    monkeypatch.setattr(terms, "PART_WORDS", 3)
+    assert terms.hot_from(known) == (3, False)
+    assert {(r.id, r.term, r.tf): r.tfidf for r in terms.tfidf(docs, "id", ngram_max=2).collect()} == want
+    monkeypatch.setattr(terms, "HOT_TERMS", 0)
+    assert {(r.id, r.term, r.tf): r.tfidf for r in terms.tfidf(docs, "id", ngram_max=2).collect()} == want
+
+
+def test_rows_of_one_key_are_one_text(spark):
+    docs = spark.createDataFrame([(1, "aa bb"), (1, "bb cc"), (None, "aa"), (None, "aa dd")], "id int, text string")
+    got = {(r.id, r.term): r.tf for r in terms.tfidf(docs, "id").collect()}
+    assert got == {(1, "aa"): 1, (1, "bb"): 2, (1, "cc"): 1, (None, "aa"): 2, (None, "dd"): 1}
