@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlens.constants import CHUNK_CHARS, KEY_POINT_LIMIT, SUMMARY_MAX_WORDS, SUMMARY_MIN_WORDS, WORD
 from postlens.functions import text as X
 from postlens.operators.phrases import NAMES, Names, listed_names, names_in_text, naming_sentences
 from postlens.operators.scaling import broadcast_if_small, unrolled
+from postlens.operators.terms import counted_rows, repeats, tfidf, vocabulary, weighed_lists
 
 MONEY = r"[$€£₹]\s?\d+(?:[.,]\d+)*"
 DATE = (
@@ -170,3 +172,42 @@ def central_sentences(df: DataFrame, weights: DataFrame, key: str, text: str = "
     return picked.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("chunk", "sentence"))).alias("s")).select(
         key, F.array_join(F.transform("s", lambda p: p["sentence"]), " ").alias("summary")
     )
+
+
+def _mean_weights() -> Callable:
+    """Mean weight of every sentence of every chunk; a sentence without a weighed word has none."""
+    @F.arrow_udf("array<array<double>>")
+    def score(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for words, terms in batches:
+            out = []
+            for chunks, own in zip(words, terms):
+                weight = dict(zip(own.values.field("term").to_pylist(), own.values.field("tfidf").to_pylist()))
+                means = []
+                for sentences in chunks.as_py() or ():
+                    found = [[weight[t] for t in s if t in weight] for s in sentences]
+                    means.append([sum(f) / len(f) if f else None for f in found])
+                out.append(means)
+            yield pa.array(out, pa.list_(pa.list_(pa.float64())))
+
+    return score
+
+
+def central_texts(docs: DataFrame, key: str, text: str = "text", width: int = CHUNK_CHARS) -> DataFrame:
+    """``(key, summary)`` from the sentence of each chunk with the highest mean TF-IDF weight.
+
+    A text's weights, sentences and scores stay in its row. Rows that share a key go by the tables.
+    """
+    if repeats(docs, key):
+        return central_sentences(docs, tfidf(docs, key, text), key, text, width)
+    terms = vocabulary(counted_rows(docs, key, text), docs.agg(F.count("*").alias("n")))
+    rows = weighed_lists(docs, terms, key, text, keep=[text])
+    cut = rows.select(key, "_terms", F.transform(X.chunks(F.col(text), width), X.sentences).alias("_s"))
+    words = F.transform("_s", lambda c: F.transform(c, X.tokens))
+    scored = cut.select(key, "_s", _mean_weights()(words, F.col("_terms")).alias("_m"))
+
+    def best(sentences: Column, means: Column) -> Column:
+        ranked = F.transform(means, lambda m, i: F.when(m.isNotNull(), F.struct(F.round(m, 9).alias("m"), (-i).alias("p"))))
+        return F.get(sentences, -F.array_max(ranked)["p"])
+
+    picked = F.filter(F.zip_with("_s", "_m", best), lambda s: s.isNotNull())
+    return scored.select(key, picked.alias("_p")).where(F.size("_p") > 0).select(key, F.array_join("_p", " ").alias("summary"))

@@ -368,3 +368,10 @@ def test_rows_of_one_key_are_one_text(spark):
     docs = spark.createDataFrame([(1, "aa bb"), (1, "bb cc"), (None, "aa"), (None, "aa dd")], "id int, text string")
     got = {(r.id, r.term): r.tf for r in terms.tfidf(docs, "id").collect()}
     assert got == {(1, "aa"): 1, (1, "bb"): 2, (1, "cc"): 1, (None, "aa"): 2, (None, "dd"): 1}
+
+
+def test_central_sentences_in_the_row_equal_those_by_tables(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "aa bb. cc dd! aa aa. ee"), (2, "aa. bb cc? x"), (3, None), (4, " . "), (5, "cc cc dd ee. aa")], "id int, text string")
+    want = {tuple(r) for r in mentions.central_sentences(docs, terms.tfidf(docs, "id"), "id", width=12).collect()}
+    assert {tuple(r) for r in mentions.central_texts(docs, "id", width=12).collect()} == want and len(want) == 3
+    assert shuffles(mentions.central_texts(docs, "id", width=12)) == 0
