@@ -24,6 +24,7 @@ from postlens.plans.models import plugin_scores
 from postlens.session import written
 
 WORD = re.compile(r"\w{2,}")
+PART_ROWS = 512  # texts held as numbers at once; a task's memory does not follow the batch
 
 
 @dataclass(frozen=True)
@@ -81,9 +82,21 @@ def gradient(rows: list[np.ndarray], classes: np.ndarray, embedding: np.ndarray,
     return np.concatenate([table.ravel(), (hidden.T @ share).ravel(), share.sum(0), [loss, len(rows)]])
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+
+
+def held_rows(words: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column as arrays, without a Python number per word."""
+    ends = words.offsets.to_numpy()
+    return np.split(words.flatten().to_numpy().astype(np.int64), ends[1:-1] - ends[0]) if len(words) else []
+
+
 def _numbered(settings: Network) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _parts(batches):
             words = [word_buckets(t, settings).astype(np.int32) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.list_(pa.int32())), batch.column("y")], ["words", "y"])
 
@@ -112,11 +125,9 @@ def train_sequence(df: DataFrame, text: str = "text", label: str = "label", sett
 
         def add_up(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             now, total = cut(sent.value), None
-            for batch in batches:
-                own = [np.asarray(w, np.int64) for w in batch.column("words").to_pylist()]
-                if own:
-                    sums = gradient(own, np.array(batch.column("y").to_pylist()), *now)
-                    total = sums if total is None else total + sums
+            for batch in _parts(batches):
+                sums = gradient(held_rows(batch.column("words")), batch.column("y").to_numpy(), *now)
+                total = sums if total is None else total + sums
             if total is not None:
                 yield part_sum(total)
 

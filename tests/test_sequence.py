@@ -90,3 +90,13 @@ def test_held_out_languages(spark):
 def test_no_labelled_rows(labelled):
     with pytest.raises(ValueError):
         Q.train_sequence(labelled.where("id = 900"))
+
+
+def test_large_batches_are_summed_in_parts():
+    import pyarrow as pa
+
+    column = pa.array([[1, 2], [], [3], [4, 5, 6]], pa.list_(pa.int32()))
+    assert [r.tolist() for r in Q.held_rows(column)] == [[1, 2], [], [3], [4, 5, 6]]
+    assert [r.tolist() for r in Q.held_rows(column.slice(1, 2))] == [[], [3]] and Q.held_rows(column.slice(0, 0)) == []
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2 * Q.PART_ROWS + 1))], names=["i"])
+    assert [b.num_rows for b in Q._parts([batch])] == [Q.PART_ROWS, Q.PART_ROWS, 1]
