@@ -22,6 +22,7 @@ SENTENCE = re.compile(r"[^.!?]+[.!?]*")
 
 NAMES = 200_000
 NAME_CHARS = 16_000_000
+PART_ROWS = 512  # texts whose results are held at once
 
 
 class Automaton:
@@ -99,7 +100,8 @@ def _over_texts(kind: str, found: Callable[[str, Automaton], object], type_: pa.
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         automaton = sent.value
         for batch in batches:
-            yield pa.array([found(text.as_py() or "", automaton) for text in batch], type_)
+            for at in range(0, len(batch), PART_ROWS):
+                yield pa.array([found(text.as_py() or "", automaton) for text in batch.slice(at, PART_ROWS)], type_)
 
     return run
 

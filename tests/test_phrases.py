@@ -59,3 +59,19 @@ def test_python_and_spark_split_alike(spark, data):
         text = r["text"] or ""
         cut = [m.group().strip(X.SPACE_CHARS) for m in phrases.SENTENCE.finditer(text)]
         assert [s for s in cut if s] == (r["s"] or []) and phrases.WORD.findall(text) == (r["w"] or [])
+
+
+def test_results_of_a_batch_are_held_in_parts(monkeypatch):
+    monkeypatch.setattr(phrases, "PART_ROWS", 3)
+    held = []
+    array = phrases.pa.array
+    monkeypatch.setattr(phrases.pa, "array", lambda values, *a, **k: held.append(len(values)) or array(values, *a, **k))
+
+    class Sent:
+        value = phrases.Automaton([("Rome", "GPE")])
+
+    taken = {}
+    monkeypatch.setattr(phrases.F, "arrow_udf", lambda kind: lambda run: taken.setdefault("run", run) and (lambda c: c))
+    phrases._over_texts("int", lambda t, a: len(a.hits(t.split())), phrases.pa.int32(), phrases.Names(Sent()))
+    out = [x for part in taken["run"](iter([array(["Rome"] * 8)])) for x in part.to_pylist()]
+    assert out == [1] * 8 and held == [3, 3, 2]
