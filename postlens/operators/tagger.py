@@ -25,6 +25,7 @@ from postlens.session import written
 TAGS = ("O", *[f"{place}-{kind}" for kind in KINDS for place in "BI"])
 FORBIDDEN = -1e9
 BATCH = 8
+TASK_TEXTS = 2_000  # texts tagged by one task
 
 
 @dataclass(frozen=True)
@@ -199,7 +200,12 @@ def _marked_sentences(text: Column, names: Names, settings: Learning) -> Column:
 
 
 def tagged_names(df: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
-    """``df`` with ``locations`` and ``organizations``, each in reading order; a null text has none."""
+    """``df`` with ``locations`` and ``organizations``, each in reading order; a null text has none.
+
+    A text takes far longer to tag than to move, so rows are dealt out: no task tags more
+    than about ``TASK_TEXTS``, however large the splits of the input.
+    """
+    tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // TASK_TEXTS))
     sent = df.sparkSession.sparkContext.broadcast((tagger.emission, tagger.transition + follows()))
     shape = pa.struct([(k, pa.list_(pa.string())) for k in KINDS])
 
@@ -220,5 +226,5 @@ def tagged_names(df: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame
                 rows.append(row)
             yield pa.array(rows, shape)
 
-    return df.withColumn("_tagged", find(F.col(text))).select(
+    return df.repartition(tasks).withColumn("_tagged", find(F.col(text))).select(
         *df.columns, F.col("_tagged.GPE").alias("locations"), F.col("_tagged.ORG").alias("organizations"))

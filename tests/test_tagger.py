@@ -104,3 +104,12 @@ def test_repeats_and_empty(spark, texts):
     nothing = T.train_tagger(docs.limit(0), names, "id")
     got = T.tagged_names(spark.createDataFrame([(1, None), (2, ""), (3, "in Ostburg")], "id int, text string"), nothing).collect()
     assert all(r["locations"] == [] and r["organizations"] == [] for r in got)
+
+
+def test_texts_are_dealt_out_however_large_the_splits(spark, monkeypatch):
+    monkeypatch.setattr(T, "TASK_TEXTS", 10)
+    docs = spark.createDataFrame([(i, "we go to Rome.") for i in range(200)], "id int, text string").coalesce(1)
+    tagger = T.Tagger(np.zeros((64, len(T.TAGS))), np.zeros((len(T.TAGS) + 1, len(T.TAGS))))
+    found = T.tagged_names(docs, tagger)
+    assert "Exchange RoundRobinPartitioning(20)" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 200
