@@ -22,6 +22,7 @@ from postlens.operators.terms import counted_rows, repeats, term_counts, vocabul
 from postlens.session import written
 
 INDEX_ROWS = 1_000_000
+PART_ROWS = 512  # texts whose terms a task holds as Python values
 
 
 def label_table(spark: SparkSession, labels: Sequence[str] = CANDIDATE_LABELS,
@@ -78,7 +79,7 @@ def _adder(sent: Broadcast) -> Callable:
     @F.arrow_udf("struct<c: array<double>, s: array<boolean>>")
     def add_up(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         count, entries = sent.value
-        for batch in batches:
+        for batch in (b.slice(at, PART_ROWS) for b in batches for at in range(0, len(b), PART_ROWS)):
             cosines, shares = [], []
             for terms in batch.to_pylist():
                 total, seen = np.zeros(count), np.zeros(count, bool)

@@ -375,3 +375,11 @@ def test_central_sentences_in_the_row_equal_those_by_tables(spark, monkeypatch):
     want = {tuple(r) for r in mentions.central_sentences(docs, terms.tfidf(docs, "id"), "id", width=12).collect()}
     assert {tuple(r) for r in mentions.central_texts(docs, "id", width=12).collect()} == want and len(want) == 3
     assert shuffles(mentions.central_texts(docs, "id", width=12)) == 0
+
+
+def test_labels_are_added_up_in_parts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"aa b{i:02d} cc") for i in range(20)], "id int, text string").coalesce(1)
+    labels = spark.createDataFrame([(1, "aa b03"), (2, "cc"), (3, "zz")], "label int, text string")
+    want = sorted(map(tuple, zero_shot.zero_shot_top(docs, labels, "id", "label").collect()))
+    monkeypatch.setattr(zero_shot, "PART_ROWS", 3)
+    assert sorted(map(tuple, zero_shot.zero_shot_top(docs, labels, "id", "label").collect())) == want and len(want) == 20
