@@ -113,3 +113,39 @@ def test_texts_are_dealt_out_however_large_the_splits(spark, monkeypatch):
     found = T.tagged_names(docs, tagger)
     assert "Exchange RoundRobinPartitioning(20)" in found._jdf.queryExecution().executedPlan().toString()
     assert found.count() == 200
+
+
+def test_texts_beyond_any_sample_are_learned_from(spark):
+    """20,400 texts, of which only those of greatest key hash hold a name."""
+    ids = spark.range(20_400).select(F.col("id").cast("int").alias("id"), F.xxhash64(F.col("id").cast("int")).alias("h"))
+    last = ids.orderBy(F.desc("h")).limit(300).select("id", F.lit(True).alias("named"))
+    docs = ids.join(last, "id", "left").select("id", F.when(F.col("named"), "they went to Ostburg today").otherwise("they went home").alias("text"))
+    model = T.train_tagger(docs, spark.createDataFrame([("Ostburg", "GPE")], "phrase string, kind string"), "id")
+    found = T.tagged_names(spark.createDataFrame([(1, "they went to Ostburg today"), (2, "they went home")], "id int, text string"), model)
+    assert {r["id"]: r["locations"] for r in found.collect()} == {1: ["Ostburg"], 2: []}
+
+
+def test_decoding_ahead_learns_what_single_batches_teach():
+    draw, buckets = np.random.default_rng(3), 64
+    sizes = draw.integers(1, 9, 200)
+    ends = np.cumsum(sizes).astype(np.int32)
+    own = draw.integers(0, buckets, (int(ends[-1]), T.WIDTH))
+    tags = np.where(own[:, 0] < 8, T.TAGS.index("B-GPE"), 0)
+    start = np.zeros((buckets, len(T.TAGS))), np.zeros((len(T.TAGS) + 1, len(T.TAGS)))
+    emission, transition = (x.copy() for x in start)
+    summed, steps, wrong = 0, 0, 0
+    spans = list(zip(ends - sizes, ends))
+    for at in range(0, len(spans), T.BATCH):
+        part = spans[at:at + T.BATCH]
+        guesses = T.viterbi([emission[own[a:b]].sum(1) for a, b in part], transition + T.follows())
+        for (a, b), guess in zip(part, guesses):
+            off = np.flatnonzero(tags[a:b] != guess)
+            wrong += len(off) > 0
+            if len(off):
+                for path, sign in ((tags[a:b], 1.0), (guess, -1.0)):
+                    np.add.at(emission, (own[a:b][off], path[off, None]), sign)
+                    np.add.at(transition, (np.concatenate([[0], path[:-1] + 1]), path), sign)
+        summed, steps = summed + np.concatenate([emission.ravel(), transition.ravel()]), steps + 1
+    got = T.learn([(own, tags, ends)], *start)
+    want = np.concatenate([emission.ravel(), transition.ravel(), summed / steps, [1.0, wrong, len(spans)]])
+    assert 0 < wrong < len(spans) and np.allclose(got, want, rtol=0, atol=1e-12)
