@@ -17,6 +17,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from postlens.llm.tokens import encoded, encoder
 from postlens.llm.words import few_rows
 
+FILE_ROWS = 2048  # documents in a file; a partition of more has several, numbered by Spark's writer
+PART_NUMBER = r"-c(\d+)[^/]*$"
+
 
 def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, width: int = 2,
                text_col: str = "text") -> None:
@@ -24,7 +27,8 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, width:
 
     Every document ends with ``end_id``; a null or empty text is that id alone. Strings
     of special tokens in a text are ordinary text, so they end no document. The line separator of Spark's text writer is the end id, so any store Spark writes to
-    will do. An id that does not fit ``width`` is an error.
+    will do. An id that does not fit ``width`` is an error. A partition is written as files of
+    ``FILE_ROWS`` documents, since a reader holds a whole file.
     """
     kind = {2: "<u2", 4: "<u4"}[width]
 
@@ -42,7 +46,7 @@ def write_flat(docs: DataFrame, tokenizer: str, folder: str, end_id: int, width:
 
     raw = few_rows(docs).select(flat(F.col(text_col)).cast("string").alias("value"))
     end = end_id.to_bytes(width, "little").decode("latin-1")
-    raw.write.option("encoding", "ISO-8859-1").option("lineSep", end).text(folder)
+    raw.write.options(encoding="ISO-8859-1", lineSep=end, maxRecordsPerFile=FILE_ROWS).text(folder)
 
 
 def written_places(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -78,22 +82,29 @@ def block_ends(spark: SparkSession, folder: str, end_id: int, width: int = 2, bl
     return files.mapInArrow(search, "file string, block bigint, n bigint, ends array<int>")
 
 
-def count_tokens(spark: SparkSession, folder: str, end_id: int, width: int = 2, block: int = 1 << 18) -> DataFrame:
+def count_tokens(spark: SparkSession, folder: str, end_id: int, width: int = 2, block: int = 1 << 18,
+                 joined: bool = False) -> DataFrame:
     """``(file, doc_no, start, n_tokens, ended)``: one row per document, in file order.
 
     ``start`` is the place of its first id, ``n_tokens`` its ids without the end id;
     two end ids in a row are an empty document. Ids after the last end id are a
     document with ``ended`` false. An empty file has no documents. The result does
     not depend on ``block``. A file is one row of the reader, so it has to stay under
-    its limit of 2 GB; writers of flat files cut them well below that.
+    its limit of 2 GB; ``write_flat`` cuts them well below that. With ``joined`` the files that
+    it wrote of one partition are one, end to end in their order, under the name they share.
     """
-    blocks = block_ends(spark, folder, end_id, width, block)
-    order = Window.partitionBy("file").orderBy("block")
+    blocks = block_ends(spark, folder, end_id, width, block).withColumn("_part", F.lit(0))
+    if joined:
+        number = F.regexp_extract("file", PART_NUMBER, 1)
+        blocks = blocks.withColumn("_part", F.when(number != "", number.cast("int")).otherwise(0)).withColumn(
+            "file", F.regexp_replace("file", PART_NUMBER, ""))
+    order = Window.partitionBy("file").orderBy("_part", "block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    base = F.col("block") * block
+    base = F.col("base")
     final = F.when(F.size("ends") > 0, base + F.element_at("ends", -1))
-    scanned = blocks.withColumn("_final", final).select(
-        "file", "ends", base.alias("base"), (base + F.col("n")).alias("limit"), "_final",
+    placed = blocks.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    scanned = placed.withColumn("_final", final).select(
+        "file", "ends", "base", (base + F.col("n")).alias("limit"), "_final",
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).alias("docs"),
         F.coalesce(F.max("_final").over(before), F.lit(-1)).alias("previous"),
         F.lead("block").over(order).isNull().alias("closing"),

@@ -11,6 +11,7 @@ from postlens.llm import bpe, packing, token_counts
 from postlens.llm.catalog import queries
 from postlens.llm.tokens import PieceEncoder, in_slices, pieces
 from postlens.session import scratch_path
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 FILE = public_tokenizers.path("byte_bpe_50k.json")
@@ -226,6 +227,23 @@ def test_end_of_text_in_a_text_ends_nothing(spark):
     assert {r["doc_id"] for r in places} == {1, 2}
 
 
+def test_a_partition_is_written_as_small_files(spark, monkeypatch):
+    docs = spark.range(1100).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("some words of"), "id").alias("text")).repartition(2, "doc_id")
+    whole, cut = scratch_path(spark, "flat-test"), scratch_path(spark, "flat-test")
+    monkeypatch.setattr(token_counts, "FILE_ROWS", 10_000)
+    token_counts.write_flat(docs, FILE, whole, 50256)
+    monkeypatch.setattr(token_counts, "FILE_ROWS", 50)
+    token_counts.write_flat(docs, FILE, cut, 50256)
+    longest = spark.read.format("binaryFile").load(cut).agg(F.max("length"), F.count("*")).first()
+    assert longest[0] < 1000 and longest[1] > 20
+
+    def rows(folder):
+        found = token_counts.count_tokens(spark, folder, 50256, block=64, joined=True)
+        return sorted((r["file"].split("part-")[1][:5], *r[1:]) for r in found.collect())
+
+    assert rows(cut) == rows(whole) and len(rows(cut)) == 1100
+
+
 LONG_RUNS = ["\n" * 60_000, "a" + "\n" * 60_000 + "b", " " * 60_000 + "x", "a" + " \t" * 30_000, "a" + "\u3000" * 25_000 + " word" + "\r\n" * 25_000 + "'s"]
 
 
